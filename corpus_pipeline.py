@@ -6,28 +6,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import simhash
-from pairloom.llm.common import shared_dir, written
+from pairloom.llm import decontaminate, langid, packing, simhash
+from pairloom.llm.common import shared_dir, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the compressed sizes tell apart stay, with their columns as they are."""
+    found = langid.identified(docs, langid.dictionaries(docs), out=("__language", "__margin", "__accepted"))
+    return found.where("__accepted").select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of exact and near copies stays."""
     return simhash.without_copies(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut out; documents mostly made of them go."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a bin."""
+    return packing.packed_texts(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language),
     ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", pack),
 ]
 
-#: Language ID and the token lengths are no SQL; tests hold the run against brute force.
+#: Compressed sizes, fingerprints and tokens are no SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the documents table, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     at = shared_dir(spark)
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"{at}/{name}")

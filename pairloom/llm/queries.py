@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import decontaminate, langid, packing, simhash, token_binary, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
+    "op4_token_counts": token_counts.op4_token_counts,
+    "op6_language_id": langid.op6_language_id,
+    "op7_token_binary": token_binary.op7_token_binary,
+    "op9_harmonic_packing": packing.op9_harmonic_packing,
 }
 
 ORACLES: dict[str, str] = {}
