@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,6 +20,11 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: an expression named several times would be computed as often."""
+    return F.transform(F.array(value), use)[0]
+
+
 def squeezed(text: Column) -> Column:
     """White space runs as one space, none at the ends."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))
@@ -49,15 +55,15 @@ def n_words(text: Column) -> Column:
 def ngrams(tokens: Column, n: int) -> Column:
     """All runs of n words; none where there are fewer.
 
-    The words are bound once by the outer transform: named in the inner function they
-    would be split anew for every run.
+    The words are bound once: named in the inner function they would be split anew for
+    every run.
     """
 
     def runs(w: Column) -> Column:
         grams = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
         return F.when(F.size(w) >= n, grams).otherwise(F.expr("cast(array() as array<string>)"))
 
-    return F.transform(F.array(tokens), runs)[0]
+    return bound(tokens, runs)
 
 
 def opening(tokens: Column, n: int = 3) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, n_words, nfkc, plain_quotes, squeezed
+from ..functions.text import any_of, bound, n_words, nfkc, plain_quotes, squeezed
 from .sampling import hashed, uniform
 
 _JUNK = ("", "combinations", "combinations, other", "na", "other", "various")
@@ -18,18 +18,22 @@ def clean_name(name: Column, unicode: bool = True) -> Column:
     return squeezed(nfkc(t) if unicode else t)
 
 
-def bad_name(n: Column) -> Column:
-    """Codes, formulae and cells that hold no name."""
+def _bad(n: Column) -> Column:
     digits = F.length(F.regexp_replace(n, "[^0-9]", ""))
     return F.lower(F.trim(n)).isin(*_JUNK) | (n_words(n) > 6) | ((digits > 0) & n.rlike("[-/]")) | (digits >= 2) | (F.length(F.regexp_replace(n, "[^-]", "")) >= 3)
 
 
+def bad_name(n: Column) -> Column:
+    """Codes, formulae and cells that hold no name."""
+    return bound(n, _bad)
+
+
 def bad_group(n: Column) -> Column:
-    return bad_name(n) | (n_words(n) > 3) | F.contains(n, F.lit(",")) | n.rlike(ADMIN)
+    return bound(n, lambda x: _bad(x) | (n_words(x) > 3) | F.contains(x, F.lit(",")) | x.rlike(ADMIN))
 
 
 def bad_drug(n: Column) -> Column:
-    return bad_name(n) | (n_words(n) > 4) | F.contains(n, F.lit(",")) | n.rlike(ADMIN) | n.rlike(NOT_DRUG)
+    return bound(n, lambda x: _bad(x) | (n_words(x) > 4) | F.contains(x, F.lit(",")) | x.rlike(ADMIN) | x.rlike(NOT_DRUG))
 
 
 def unusable(n: Column) -> Column:
@@ -50,7 +54,7 @@ def drug_names(rows: DataFrame, name: str = "Common_Name_of_Drug", synonyms: str
 def classified_names(rows: DataFrame, code: str = "atc_code", name: str = "atc_name", unicode: bool = True) -> DataFrame:
     """(kind, name): codes of seven or more characters name drugs, of four or five groups; others are left out."""
     c = rows.select(F.length(F.trim(F.coalesce(code, F.lit("")))).alias("n"), clean_name(F.col(name), unicode).alias("name"))
-    title = F.when((F.upper("name") == F.col("name")) & (F.lower("name") != F.col("name")), F.initcap(F.lower("name"))).otherwise(F.col("name"))
+    title = bound(F.col("name"), lambda n: F.when((F.upper(n) == n) & (F.lower(n) != n), F.initcap(F.lower(n))).otherwise(n))
     drugs = c.where("n >= 7").where(~bad_drug(F.col("name"))).select(F.lit("drug").alias("kind"), "name")
     groups = c.where("n IN (4, 5)").select(F.lit("group").alias("kind"), title.alias("name")).where(~bad_group(F.col("name")))
     return drugs.unionByName(groups)

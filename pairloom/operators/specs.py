@@ -87,19 +87,19 @@ def specs(spark: SparkSession, n: int, vocab: DataFrame, seed: int = 0, p_group:
     s = done.withColumn("entities", keys).withColumn("complete", F.size("got") >= F.col("k"))
     pos_of = F.create_map(*(x for k, f in FRAMES.items() for x in (F.lit(k), F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(lab).alias("label")) for a, b, lab in f[3])) if f[3] else F.expr("cast(array() as array<struct<a:string,b:string,label:string>>)"))))
     focus = F.create_map(*(x for k, f in FRAMES.items() for x in (F.lit(k), F.lit(f[4]))))
-    s = s.withColumn("positives", pos_of[F.col("frame")]).withColumn("names", F.transform("entities", lambda e: e["key"]))
+    s = s.withColumn("__pos", pos_of[F.col("frame")]).withColumn("names", F.transform("entities", lambda e: e["key"]))
     spare = F.slice("names", focus[F.col("frame")] + 1, F.size("names"))
     roled = F.slice(F.filter(spare, lambda x: uniform(hashed(f"{seed}:role", F.col("spec_index"), x)) < ROLE), 1, 2)
     first = F.floor(_u(seed, "which") * len(ROLES)).cast("int")
     all_roles = F.array(*map(F.lit, ROLES))
     roles = F.map_from_entries(F.transform(roled, lambda x, i: F.struct(x, F.element_at(all_roles, (first + i) % len(ROLES) + 1))))
     pairs = F.flatten(F.transform("names", lambda a: F.transform(F.filter("names", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    label = lambda p: F.coalesce(F.try_element_at(F.filter("positives", lambda q: (F.least(q["a"], q["b"]) == p["a"]) & (F.greatest(q["a"], q["b"]) == p["b"])), F.lit(1))["label"], F.lit("NONE"))
+    label = lambda p: F.coalesce(F.try_element_at(F.filter("__pos", lambda q: (F.least(q["a"], q["b"]) == p["a"]) & (F.greatest(q["a"], q["b"]) == p["b"])), F.lit(1))["label"], F.lit("NONE"))
     matrix = F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.concat(p["a"], F.lit("|"), p["b"]), label(p))))
     pool = F.create_map(*(x for k, v in AXES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     ranked = F.array_sort(F.transform(pool[F.col("kind")], lambda a: F.struct(hashed(f"{seed}:axis", F.col("spec_index"), a).alias("h"), a.alias("a"))))
     axes = F.transform(F.slice(ranked, F.lit(1), F.col("n_axes")), lambda x: x["a"])
-    out = F.transform("positives", lambda p: F.struct(F.array(p["a"], p["b"]).alias("between"), p["label"].alias("label")))
+    out = F.transform("__pos", lambda p: F.struct(F.array(p["a"], p["b"]).alias("between"), p["label"].alias("label")))
     return s.select("spec_index", "frame", "kind", "register", "entities", out.alias("positives"), roles.alias("roles"), "has_scene", axes.alias("axes"), matrix.alias("matrix"), "complete")
 
 
