@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def _files(spark: SparkSession, root: str, split: str, ending: str) -> DataFrame:
-    d = spark.read.option("wholetext", True).text(f"{root}/{split}/*/*.{ending}").select("value", F.input_file_name().alias("path"))
+    d = spark.read.text(f"{root}/{split}/*/*.{ending}", wholetext=True).select("value", F.input_file_name().alias("path"))
     return d.select("value", F.regexp_extract("path", rf"([^/]+)/[^/]+\.{ending}$", 1).alias("register"), F.regexp_extract("path", rf"([^/]+)\.{ending}$", 1).alias("doc_id"))
 
 

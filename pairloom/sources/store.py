@@ -116,7 +116,7 @@ def log_run(spark: SparkSession, root: str, config: dict, metrics: dict[str, flo
 
 def load_runs(spark: SparkSession, path: str) -> DataFrame:
     """Run records, one a file or line, with config as cfg.* and metrics as m.*; list-shaped files are none."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.explode(F.split("value", r"\n(?=\{)")).alias("value")).where(F.trim("value").startswith("{"))
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\n(?=\{)")).alias("value")).where(F.trim("value").startswith("{"))
     kind = "struct<run_id:string,timestamp:string,train_id:string,eval_id:string,config:map<string,string>,metrics:map<string,double>,notes:string,git_sha:string,git_dirty:boolean>"
     r = raw.select(F.from_json("value", kind).alias("r")).select("r.*").where("run_id IS NOT NULL")
     r = r.withColumn("train_id", F.coalesce("train_id", F.try_element_at("config", F.lit("train_id")))).withColumn("eval_id", F.coalesce("eval_id", F.try_element_at("config", F.lit("eval_id"))))
@@ -148,7 +148,7 @@ def read_drug_list(spark: SparkSession, path: str) -> DataFrame:
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
     """(kind, name) of a JSON object whose values are lists of names or objects keyed by name."""
     kind = T.MapType(T.StringType(), T.StringType())
-    m = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", kind)).alias("kind", "v"))
+    m = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)).alias("kind", "v"))
     listed, keyed = F.from_json("v", "array<string>"), F.map_keys(F.from_json("v", kind))
     return m.select("kind", F.explode(F.when(F.trim("v").startswith("["), listed).otherwise(keyed)).alias("name")).where("name <> ''")
 
