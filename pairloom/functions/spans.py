@@ -11,6 +11,12 @@ MARKER = r"\[/?E[12]\]"
 SPANS = "array<struct<begin:int,end:int>>"
 
 
+def _span(k: str) -> str:
+    """A pattern for the k-th marked span with its tags."""
+    opening, closing = (rf"\[{slash}E{k}\]" for slash in ("", "/"))
+    return f"(?s){opening}.*?{closing}"
+
+
 def _put(text: Column, edits: Column) -> Column:
     """Edits (begin, end, with, ord) from right to left; at one place the first listed comes first and so ends up last."""
     order = F.array_sort(edits, lambda a, b: F.when(a["begin"] != b["begin"], b["begin"] - a["begin"]).otherwise(a["ord"] - b["ord"]))
@@ -59,7 +65,9 @@ def maskable(text: Column) -> Column:
 
 def masked_text(text: Column) -> Column:
     """Marked spans replaced by drug1 and drug2; null where the tags don't allow it."""
-    out = F.regexp_replace(F.regexp_replace(text, r"(?s)\[E1\].*?\[/E1\]", "drug1"), r"(?s)\[E2\].*?\[/E2\]", "drug2")
+    out = text
+    for k in "12":
+        out = F.regexp_replace(out, _span(k), f"drug{k}")
     return F.when(maskable(text), out)
 
 
@@ -92,7 +100,7 @@ def near_marker(text: Column, chars: int = 60) -> Column:
     """Text up to so many characters on each side of either marked span, tags counted, the two joined by a space."""
 
     def window(k: int) -> Column:
-        found = F.regexp_extract(text, rf"(?s)\[E{k}\].*?\[/E{k}\]", 0)
+        found = F.regexp_extract(text, _span(str(k)), 0)
         at = F.instr(text, f"[E{k}]")
         first = F.greatest(F.lit(1), at - chars)
         return F.when(found != "", F.substring(text, first, at - first + F.length(found) + chars))

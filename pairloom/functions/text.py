@@ -111,7 +111,7 @@ ANAPHORA = r"(?i)^\s*(?:as (?:described|mentioned|noted)|both|either|it|such|tha
 AFOREMENTIONED = any_of("aforementioned", "as (?:described|mentioned|noted) above", "the former", "the latter")
 KINETICS = any_of("AUC", "Cmax", "absor(?:b[a-z]+|ption)", "bioavailab[a-z]+", "clearance", "concentration", "exposure", "half-?life", "level", "metaboli[a-z]+", "protein binding")
 ASSERTING = any_of("antagonis[a-z]+", "caus[a-z]+", "decreas[a-z]+", "increas[a-z]+", "induc[a-z]+", "inhibit[a-z]+", "interact[a-z]+", "led to", "lower[a-z]+", "potentiat[a-z]+", "rais[a-z]+", "reduc[a-z]+", "result[a-z]+ in")
-JOINT = r"(?i)\b(?:combination|combined|regimen|together)\b[^.]{0,80}\b(?:additive|benefit[a-z]*|effective|efficac[a-z]+|improv[a-z]+|outcome[a-z]*|response|safe[a-z]*|tolerat[a-z]+)\b|\b(?:appear|indicat|observ|suggest)[a-z]+\b[^.]{0,60}\b(?:additive|benefit[a-z]*|efficac[a-z]+|improv[a-z]+)\b"
+JOINT = r"(?i)\b(?:together|regimen|combination|combined)\b[^.]{0,80}\b(?:additive|benefit[a-z]*|effective|efficac[a-z]+|improv[a-z]+|outcome[a-z]*|response|safe[a-z]*|tolerat[a-z]+)\b|\b(?:appear|indicat|observ|suggest)[a-z]+\b[^.]{0,60}\b(?:additive|benefit[a-z]*|efficac[a-z]+|improv[a-z]+)\b"
 #: What a frame's sentences have to contain, and what they must not.
 MUST = {
     "appositive": any_of("including", "such as"),

@@ -56,5 +56,6 @@ def mixing_curve(human: DataFrame, synth: DataFrame, budgets: list[int | None],
             mixed = own.unionByName(match_positive_rate(more, pos or 0.0, seed, *key))
             for arm, data in (("human", own), ("mixed", mixed)):
                 c, p = data.agg(F.count("*"), F.avg((F.col("label") != "NONE").cast("double"))).first()
-                rows.append({"budget": "full" if budget is None else str(budget), "arm": arm, "seed": seed, "n_instances": c, "pos_rate": p, "f1": score(data)})
+                row = dict(seed=seed, arm=arm, f1=score(data), pos_rate=p, n_instances=c)
+                rows.append(row | {"budget": "full" if budget is None else str(budget)})
     return rows

@@ -98,7 +98,7 @@ def _sentence(r) -> list[tuple[str, str, str]]:
         raise _Bad(f"sentence too long ({_long(text)} words)")
     if _looping(text):
         raise _Bad("degenerate repetition")
-    names = {e["key"]: e["surface"] for e in r.entities}
+    names = dict((ent["key"], ent["surface"]) for ent in r.entities)
     found = occurrences(text, list(names.values()))
     there = {f[2] for f in found}
     for s in names.values():

@@ -31,9 +31,11 @@ FRAMES: dict[str, tuple[str, int, float, list[tuple[str, str, str]], int]] = {
     "coordinate": ("structural", 3, 0.03, [("A", "C", "EFFECT"), ("B", "C", "EFFECT")], 3),
     "appositive": ("structural", 4, 0.02, [("A", "C", "EFFECT"), ("A", "D", "EFFECT"), ("B", "C", "EFFECT"), ("B", "D", "EFFECT")], 4),
 }
-REGISTERS = {"DrugBank": 0.85, "MedLine": 0.15}
-SIZES = {"2": 0.41, "3": 0.27, "4": 0.14, "5": 0.10, "6": 0.08}
-AXES = {"none_plain": ["grammar", "length", "opening", "detail", "certainty"], "none_pair": ["grammar", "orientation", "separation", "length", "opening", "detail", "certainty"], "none_single": ["grammar", "length", "opening", "detail", "certainty"], "positive": ["grammar", "orientation", "separation", "length", "opening", "detail", "certainty"], "structural": ["length", "detail", "certainty"]}
+REGISTERS = dict(zip(("DrugBank", "MedLine"), (0.85, 0.15), strict=True))
+SIZES = {str(k): w for k, w in enumerate((0.41, 0.27, 0.14, 0.10, 0.08), 2)}
+_FREE = ["certainty", "detail", "grammar", "length", "opening"]
+_OF_PAIRS = sorted([*_FREE, "orientation", "separation"])
+AXES = {"none_plain": _FREE, "none_single": _FREE, "none_pair": _OF_PAIRS, "positive": _OF_PAIRS, "structural": [a for a in _FREE if a not in ("grammar", "opening")]}
 N_AXES = {"0": 0.15, "1": 0.45, "2": 0.40}
 SCENE, ROLE, ROLES = 0.6, 0.55, ("r1", "r2", "r3", "r4", "r5")
 

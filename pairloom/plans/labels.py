@@ -10,6 +10,7 @@ from ..operators import sampling as R
 from ..operators import scoring as A
 from ..operators.divergence import compare, stability
 from ..operators.pairs import below_cap
+from ..schema import LABELS, POSITIVE
 from .views import ORDERS, PREDICTIONS, orders, predictions, sql_digit, table
 
 
@@ -170,16 +171,16 @@ SELECT sent_id, label, source, key FROM inst WHERE sent_id IN (SELECT sent_id FR
     "sample_document_split": f"SELECT doc_id, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.7::DOUBLE + 0.15::DOUBLE THEN 'dev' ELSE 'val' END AS split FROM (SELECT doc_id, {_SPLIT} AS u FROM documents)",
     "sample_every_nth": "SELECT p_partkey, p_name FROM (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey) AS r FROM part) WHERE (r - 1) % 10 = 0 AND r <= 200",
     "composition_arms": ARMS_SQL,
-    "score_per_label": f"WITH {PREDICTIONS}, {_PER.format(chr(39) + (chr(39) + ', ' + chr(39)).join(['ADVISE', 'EFFECT', 'INT', 'MECHANISM']) + chr(39))} SELECT label, {_P} AS precision, {_R} AS recall, {_F1} AS f1, gold AS support FROM per",
+    "score_per_label": f"WITH {PREDICTIONS}, {_PER.format(str(list(POSITIVE))[1:-1])} SELECT label, {_P} AS precision, {_R} AS recall, {_F1} AS f1, gold AS support FROM per",
     "score_micro": f"WITH {PREDICTIONS}, c AS (SELECT {_MICRO} FROM pred) SELECT n, {_P} AS precision, {_R} AS recall, {_F1} AS f1 FROM c",
     "score_micro_by_source": f"WITH {PREDICTIONS}, c AS (SELECT source, {_MICRO} FROM pred GROUP BY source) SELECT source, n, {_P} AS precision, {_R} AS recall, {_F1} AS f1 FROM c",
-    "score_macro": f"WITH {PREDICTIONS}, {_PER.format(chr(39) + (chr(39) + ', ' + chr(39)).join(['NONE', 'ADVISE', 'EFFECT', 'INT', 'MECHANISM']) + chr(39))} SELECT round(avg({_P}), 9) AS precision, round(avg({_R}), 9) AS recall, round(avg({_F1}), 9) AS f1, (SELECT round(avg(CASE WHEN label = predicted THEN 1.0::DOUBLE ELSE 0 END), 9) FROM pred) AS accuracy FROM per",
+    "score_macro": f"WITH {PREDICTIONS}, {_PER.format(str(list(LABELS))[1:-1])} SELECT round(avg({_P}), 9) AS precision, round(avg({_R}), 9) AS recall, round(avg({_F1}), 9) AS f1, (SELECT round(avg(CASE WHEN label = predicted THEN 1.0::DOUBLE ELSE 0 END), 9) FROM pred) AS accuracy FROM per",
     "score_by_bucket": f"WITH {PREDICTIONS}, {_BUCKETS}, c AS (SELECT bucket, {_MICRO} FROM b GROUP BY bucket) SELECT bucket, n, gold AS support, said AS predicted, hit AS correct, {_P} AS precision, {_R} AS recall, {_F1} AS f1 FROM c",
     "score_false_positive_rates": f"WITH {PREDICTIONS}, {_BUCKETS}, c AS (SELECT bucket, {_MICRO} FROM b GROUP BY bucket) SELECT bucket, said - hit AS fp, n - gold AS negatives, CASE WHEN n > gold THEN CAST(said - hit AS DOUBLE) / (n - gold) ELSE 0 END AS fpr, CASE WHEN sum(said - hit) OVER () > 0 THEN CAST(said - hit AS DOUBLE) / sum(said - hit) OVER () ELSE 0 END AS fp_share FROM c",
     "score_pair_shares": f"WITH {PREDICTIONS}, c AS (SELECT {_BUCKET} AS bucket, count(*) AS sentences, CAST(sum(n_entities * (n_entities - 1) // 2) AS BIGINT) AS pairs FROM (SELECT DISTINCT sent_id, n_entities FROM pred) GROUP BY 1) SELECT bucket, sentences, pairs, CAST(sentences AS DOUBLE) / sum(sentences) OVER () AS sentence_share, CAST(pairs AS DOUBLE) / sum(pairs) OVER () AS pair_share FROM c",
     "score_buckets_side_by_side": f"WITH {PREDICTIONS}, {_BUCKETS}, c AS (SELECT source, bucket, {_MICRO} FROM b GROUP BY source, bucket), f AS (SELECT source, bucket, n, {_F1} AS f1 FROM c) SELECT o.bucket, o.n AS n_o, o.f1 AS f1_o, f.n AS n_f, f.f1 AS f1_f FROM f AS o JOIN f ON o.bucket = f.bucket AND o.source = 'O' AND f.source = 'F'",
     "score_class_fidelity": f"WITH {PREDICTIONS} SELECT label, count(*) AS n, avg(CASE WHEN label = predicted THEN 1.0::DOUBLE ELSE 0 END) AS fidelity, avg(CASE WHEN predicted <> 'NONE' THEN 1.0::DOUBLE ELSE 0 END) AS positive_share FROM pred GROUP BY label",
-    "score_confusion_matrix": f"WITH {PREDICTIONS} SELECT label, " + ", ".join(f"count(*) FILTER (predicted = '{x}') AS \"{x}\"" for x in ("NONE", "ADVISE", "EFFECT", "INT", "MECHANISM")) + " FROM pred GROUP BY label",
+    "score_confusion_matrix": f"WITH {PREDICTIONS} SELECT label, " + ", ".join(f"count(*) FILTER (predicted = '{x}') AS \"{x}\"" for x in LABELS) + " FROM pred GROUP BY label",
     "score_calibration": f"""WITH {PREDICTIONS}, c AS (SELECT count(*) FILTER (label = 'NONE' AND predicted = 'NONE') AS tn, count(*) FILTER (label = 'NONE' AND predicted <> 'NONE') AS fp, count(*) FILTER (label <> 'NONE' AND predicted = 'NONE') AS fn, count(*) FILTER (label <> 'NONE' AND predicted <> 'NONE') AS tp FROM pred),
 r AS (SELECT *, CAST(tn AS DOUBLE) / greatest(tn + fp, 1) AS none_recall, CAST(tp AS DOUBLE) / greatest(tp + fn, 1) AS pos_recall, CAST(tn + tp AS DOUBLE) / (tn + fp + fn + tp) AS accuracy FROM c),
 f AS (SELECT *, (31000 - 31000 * 0.03::DOUBLE) * (1 - none_recall) AS false_flags, 31000 * 0.03::DOUBLE * pos_recall AS true_flags FROM r)

@@ -13,6 +13,7 @@ from ..operators import measures as M
 from ..operators import pairs as J
 from ..operators import shape as C
 from ..operators import verify as V
+from ..schema import POSITIVE
 from .views import DOCUMENTS, MARKED, MENTIONS, SENTENCES, SQUEEZE, digit, documents, marked_pairs, mentions_in, sentences, sql_digit, table
 
 FRAME_NAMES = ("regimen", "denial", "incompatible", "sequential", "effect_pd", "effect_protect", "appositive", "contradictory", "title", "int")
@@ -43,7 +44,7 @@ def relations(s: SparkSession, d: str) -> DataFrame:
     names = lexicon(s, d)
     both = names.select(F.col("name").alias("name1")).crossJoin(F.broadcast(names.select(F.col("name").alias("name2")))).where("name1 <> name2")
     h = digit(F.concat_ws("~", "name1", "name2"))
-    return both.withColumn("no", h).where(h % 3 == 0).withColumn("label", F.element_at(F.array(*map(F.lit, ("ADVISE", "EFFECT", "INT", "MECHANISM"))), (F.floor(h / 3) % 4 + 1).cast("int")))
+    return both.withColumn("no", h).where(h % 3 == 0).withColumn("label", F.element_at(F.array(*map(F.lit, POSITIVE)), (F.floor(h / 3) % 4 + 1).cast("int")))
 
 
 def closest(s: SparkSession, d: str) -> DataFrame:

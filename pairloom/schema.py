@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-POSITIVE = ("ADVISE", "EFFECT", "INT", "MECHANISM")
+POSITIVE = tuple("ADVISE EFFECT INT MECHANISM".split())
 NONE = "NONE"
 LABELS = (NONE, *POSITIVE)
 MODES = ("markers", "mask_targets", "mask_all")

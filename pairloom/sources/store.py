@@ -15,7 +15,7 @@ from ..schema import INSTANCE, MANIFEST, RAW
 
 
 def new_id() -> str:
-    return f"{dt.datetime.now(dt.UTC):%Y%m%d-%H%M%S}-{uuid.uuid4().hex[:6]}"
+    return "-".join((format(dt.datetime.now(dt.UTC), "%Y%m%d-%H%M%S"), str(uuid.uuid4())[:6]))
 
 
 def _git() -> tuple[str, bool]:
@@ -109,7 +109,8 @@ def read_instances(spark: SparkSession, path: str) -> DataFrame:
 def log_run(spark: SparkSession, root: str, config: dict, metrics: dict[str, float], notes: str = "", train_id: str | None = None, eval_id: str | None = None) -> str:
     sha, dirty = _git()
     run_id = new_id()
-    row = {"run_id": run_id, "timestamp": f"{dt.datetime.now(dt.UTC):%Y-%m-%dT%H:%M:%SZ}", "train_id": train_id, "eval_id": eval_id, "config": config, "metrics": metrics, "notes": notes, "git_sha": sha, "git_dirty": dirty}
+    row = dict(run_id=run_id, train_id=train_id, eval_id=eval_id, metrics=metrics, config=config, git_dirty=dirty, git_sha=sha, notes=notes)
+    row["timestamp"] = f"{dt.datetime.now(dt.UTC):%Y-%m-%dT%H:%M:%SZ}"
     spark.createDataFrame([(json.dumps(row),)], "value string").coalesce(1).write.mode("append").text(f"{root}/runs")
     return run_id
 

@@ -51,7 +51,8 @@ def called(specs: DataFrame, call: Callable[[str], str], at_once: int | None = N
                 try:
                     rows.append((index, spec, call(spec), None))
                 except Exception as e:  # the row's error, whatever the callback raises
-                    rows.append((index, spec, None, f"{type(e).__name__}: {e}"))
+                    said = ": ".join((type(e).__name__, str(e)))
+                    rows.append((index, spec, None, said))
             yield pd.DataFrame(rows, columns=["spec_index", "spec", "sample", "error"])
 
     specs = specs.repartition(at_once, "spec_index") if at_once else specs
