@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TOKENIZER, Encoder, table
+from .common import TOKENIZER, Encoder, slices, table
 
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 PARTS = f"array<{PART}>"
@@ -88,7 +88,7 @@ def formatted(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(tokenizer)
-        for b in batches:
+        for b in slices(batches):
             lens = pa.array([enc.length(t) for t in b.column(4).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:4], lens], names=[*b.schema.names[:4], "text_tokens"])
 

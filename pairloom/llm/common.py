@@ -54,6 +54,22 @@ def dropped(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows whose Python values a worker holds at a time; Arrow batches come larger.
+ROWS = 256
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in short pieces, so that a worker's memory doesn't follow the batch size; unused memory goes back at the end."""
+    try:
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                yield b.slice(at, rows)
+            del b
+            pa.default_memory_pool().release_unused()
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
 def lowered(text: str) -> str:
     """Lower case of the same length, so that offsets in it are offsets in the text."""
     low = text.lower()
@@ -100,7 +116,7 @@ def token_lengths(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, o
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(tokenizer)
-        for b in batches:
+        for b in slices(batches):
             lens = [None if t is None else enc.length(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lens, pa.int64())], names=["id", out])
 

@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dropped, lowered, shared_dir, table, word_spans, written
+from .common import lowered, shared_dir, slices, table, word_spans, written
 
 N = 8
 #: Share of a document's tokens in test passages from which the whole document goes.
@@ -27,6 +28,7 @@ HELD = 2_000_000
 _WORD = re.compile(r"\w+")
 _TAIL = re.compile(r"[^\w\s]*\s*")
 _P = np.uint64(0x100000001B3)
+_SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
 class Grams:
@@ -120,6 +122,32 @@ def _chunks(grams: DataFrame, held: int) -> list[list[tuple[str, ...]]]:
     return [[tuple(r[0]) for r in grams.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == k).collect()] for k in range(parts)]
 
 
+def _scan(sent, at: int, first: bool):
+    """Adds the spans of one held set to the last column, rows by rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = Grams(sent.value)
+        for b in slices(batches):
+            old = [()] * b.num_rows if first else b.column(b.num_columns - 1).to_pylist()
+            spans = [None if t is None else joined([*((s["a"], s["b"]) for s in o), *grams.spans(tokens(t))]) for t, o in zip(b.column(at).to_pylist(), old, strict=True)]
+            new = pa.array([None if s is None else [{"a": x, "b": y} for x, y in s] for s in spans], _SPANS)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], new], names=b.schema.names)
+
+    return run
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, text_col: str, bench_col: str, n: int, held: int, out: str):
+    """(docs with a column of spans, a function that still has to go over its batches or None)."""
+    spark = docs.sparkSession
+    at = docs.columns.index(text_col)
+    now = docs.withColumn(out, F.when(F.col(text_col).isNotNull(), F.expr("cast(array() as array<struct<a:int,b:int>>)")))
+    parts = _chunks(test_grams(benchmark, bench_col, n), held)
+    folder = shared_dir(spark)
+    for k, part in enumerate(parts[:-1]):
+        now = written(now.mapInArrow(_scan(spark.sparkContext.broadcast(part), at, k == 0), now.schema), f"{folder}/{k}")
+    return now, _scan(spark.sparkContext.broadcast(parts[-1]), at, len(parts) == 1) if parts else None
+
+
 def scanned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", bench_col: str = "text", n: int = N, held: int = HELD, out: str = "__spans") -> DataFrame:
     """All rows and columns of docs with the token stretches that test passages cover.
 
@@ -127,32 +155,16 @@ def scanned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", bench
     test item, have none.  Test items that are null or without tokens, and repeated ones,
     add nothing.
     """
-    spark = docs.sparkSession
-    at = docs.columns.index(text_col)
-    kind = "array<struct<a:int,b:int>>"
-    none = F.when(F.col(text_col).isNotNull(), F.expr(f"cast(array() as {kind})"))
-    now = docs.withColumn(out, none)
-    arrow = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-    parts = _chunks(test_grams(benchmark, bench_col, n), held)
-    folder = shared_dir(spark)
-    for k, part in enumerate(parts):
-        sent = spark.sparkContext.broadcast(part)
+    now, rest = _scanned(docs, benchmark, text_col, bench_col, n, held, out)
+    return now if rest is None else now.mapInArrow(rest, now.schema)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            grams = Grams(sent.value)
-            for b in batches:
-                old = b.column(b.num_columns - 1).to_pylist() if k else [()] * b.num_rows
-                spans = [None if t is None else joined([*((s["a"], s["b"]) for s in o), *grams.spans(tokens(t))]) for t, o in zip(b.column(at).to_pylist(), old, strict=True)]
-                new = pa.array([None if s is None else [{"a": x, "b": y} for x, y in s] for s in spans], arrow)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], new], names=b.schema.names)
 
-        now = now.mapInArrow(run, now.schema)
-        if k + 1 < len(parts):
-            now = written(now, f"{folder}/{k}")
-    return now
+def _then(first, second):
+    """One pass of a worker over two functions of batches."""
+    return second if first is None else lambda batches: second(first(batches))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", bench_col: str = "text", n: int = N, share: float = SHARE, length_col: str | None = "n_chars") -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", bench_col: str = "text", n: int = N, share: float = SHARE, length_col: str | None = "n_chars", held: int = HELD) -> DataFrame:
     """docs without test passages: spans are cut out, and documents mostly made of them go.
 
     Columns stay as they are, but for the text and, if there is one, the column of its
@@ -160,46 +172,49 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     goes where verified windows cover at least ``share`` of its tokens, or nothing of the
     text remains.
     """
-    marked = scanned(docs, benchmark, text_col, bench_col, n)
+    marked, rest = _scanned(docs, benchmark, text_col, bench_col, n, held, "__spans")
     at = docs.columns.index(text_col)
     name = "__cut"
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.IntegerType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, cut = b.column(at).to_pylist(), []
-            for i, s in enumerate(b.column(b.num_columns - 1).to_pylist()):
-                spans = [(x["a"], x["b"]) for x in s or ()]
-                if not spans:
-                    cut.append(0)
-                    continue
-                total = len(word_spans(texts[i]))
-                rest = without(texts[i], spans)
-                whole = sum(y - x for x, y in spans) >= share * total or not rest
-                texts[i] = rest
-                cut.append(2 if whole else 1)
-            columns = [*b.columns[:-1]]
-            columns[at] = pa.array(texts, b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(cut, pa.int32())], names=[*b.schema.names[:-1], name])
-
-    out = marked.mapInArrow(run, schema).where(f"{name} < 2")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            spans = [[(x["a"], x["b"]) for x in s or ()] for s in b.column(b.num_columns - 1).to_pylist()]
+            columns, done = [*b.columns[:-1]], [0] * b.num_rows
+            if any(spans):
+                texts = b.column(at).to_pylist()
+                for i, own in enumerate(spans):
+                    if own:
+                        total, left = len(word_spans(texts[i])), without(texts[i], own)
+                        done[i] = 2 if sum(y - x for x, y in own) >= share * total or not left else 1
+                        texts[i] = left
+                columns[at] = pa.array(texts, b.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(done, pa.int32())], names=[*b.schema.names[:-1], name])
+
+    out = marked.mapInArrow(_then(rest, cut), schema).where(f"{name} < 2")
     if length_col and length_col in docs.columns and length_col != text_col:
         kind = docs.schema[length_col].dataType
         out = out.withColumn(length_col, F.when(F.col(name) == 1, F.length(text_col).cast(kind)).otherwise(F.col(length_col)))
     return out.drop(name)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", bench_col: str = "text", n: int = N, share: float = SHARE) -> DataFrame:
-    """(doc_id, spans, n_hit, n_tokens, drop_document) of the documents with a verified hit."""
-    marked = scanned(docs.select(id_col, text_col), benchmark, text_col, bench_col, n).where("size(__spans) > 0")
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", bench_col: str = "text", n: int = N, share: float = SHARE, held: int = HELD) -> DataFrame:
+    """(doc_id, spans, n_hit, n_tokens, drop_document) of the documents with a verified hit.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+    Spans are stretches of tokens from ``a`` up to ``b``.  Null texts, texts without tokens
+    and tables without test items have no hit; rows that repeat an id are scanned each.
+    """
+    marked, rest = _scanned(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), benchmark, "text", bench_col, n, held, "spans")
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            found = pc.fill_null(pc.greater(pc.list_value_length(b.column(2)), 0), False)
+            b = b.filter(found)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(word_spans(t)) for t in b.column(1).to_pylist()], pa.int32())], names=["doc_id", "spans", "n_tokens"])
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("spans", marked.schema["__spans"].dataType), T.StructField("n_tokens", T.IntegerType())])
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("spans", marked.schema["spans"].dataType), T.StructField("n_tokens", T.IntegerType())])
     hit = F.aggregate("spans", F.lit(0), lambda acc, s: acc + s["b"] - s["a"])
-    return marked.mapInArrow(run, schema).withColumn("n_hit", hit).withColumn("drop_document", F.col("n_hit") >= share * F.col("n_tokens"))
+    return marked.mapInArrow(_then(rest, hits), schema).withColumn("n_hit", hit).withColumn("drop_document", F.col("n_hit") >= share * F.col("n_tokens"))
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

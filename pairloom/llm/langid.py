@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import slices, table
 
 #: Labelled documents of a language that its dictionary is fitted on at most, and bytes of each.
 SAMPLE_DOCS, SAMPLE_BYTES = 96, 1024
@@ -96,7 +96,7 @@ def identified(docs: DataFrame, dicts: dict[str, bytes], text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(dicts)
-        for b in batches:
+        for b in slices(batches):
             found = [sizes.language(t, margin) for t in b.column(at).to_pylist()]
             new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *out])

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TOKENIZER, Encoder, table
+from .common import TOKENIZER, Encoder, slices, table
 
 CHUNK, BLOCK = 8, 512
 _LEVELS = T.ArrayType(T.StructType([T.StructField(n, T.BinaryType()) for n in ("chunks", "more", "ranks")]))
@@ -76,15 +76,13 @@ def token_codes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(tokenizer)
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                counts, levels = [], []
-                for t in part.column(1).to_pylist():
-                    ids = None if t is None else enc.ids(t)
-                    counts.append(None if ids is None else len(ids))
-                    levels.append(None if ids is None else encoded(np.array(ids, dtype=np.uint32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(levels, _ARROW)], names=["doc_id", "n_tokens", "levels"])
+        for part in slices(batches):
+            counts, levels = [], []
+            for t in part.column(1).to_pylist():
+                ids = None if t is None else enc.ids(t)
+                counts.append(None if ids is None else len(ids))
+                levels.append(None if ids is None else encoded(np.array(ids, dtype=np.uint32)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(levels, _ARROW)], names=["doc_id", "n_tokens", "levels"])
 
     kind = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("levels", _LEVELS)])
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, kind)
