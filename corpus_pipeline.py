@@ -5,17 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pairloom.llm import decontaminate, langid, packing, simhash
-from pairloom.llm.common import shared_dir, table, written
+from pairloom.llm.common import fresh, shared_dir, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the compressed sizes tell apart stay, with their columns as they are."""
-    found = langid.identified(docs, langid.dictionaries(docs), out=("__language", "__margin", "__accepted"))
-    return found.where("__accepted").select(*docs.columns)
+    names = tuple(fresh(docs, n) for n in ("__language", "__margin", "__accepted"))
+    found = langid.identified(docs, langid.dictionaries(docs), out=names)
+    return found.where(F.col(names[2])).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

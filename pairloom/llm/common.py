@@ -47,6 +47,14 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Remove a written table that nothing reads any more."""
     jvm = spark.sparkContext._jvm

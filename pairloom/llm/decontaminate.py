@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lowered, shared_dir, slices, table, word_spans, written
+from .common import fresh, lowered, shared_dir, slices, table, word_spans, written
 
 N = 8
 #: Share of a document's tokens in test passages from which the whole document goes.
@@ -172,9 +172,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     goes where verified windows cover at least ``share`` of its tokens, or nothing of the
     text remains.
     """
-    marked, rest = _scanned(docs, benchmark, text_col, bench_col, n, held, "__spans")
+    marked, rest = _scanned(docs, benchmark, text_col, bench_col, n, held, fresh(docs, "__spans"))
     at = docs.columns.index(text_col)
-    name = "__cut"
+    name = fresh(docs, "__cut")
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.IntegerType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
