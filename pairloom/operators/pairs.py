@@ -9,7 +9,7 @@ from ..functions import spans as P
 from ..functions import text as X
 from ..schema import NONE
 
-#: Pairs of a sentence from which on it is left out before its pairs are formed: the pair join is quadratic.
+#: Pairs of a sentence from which on ``below_cap`` leaves it out.
 MONSTER = 190
 
 
@@ -73,11 +73,12 @@ def first_mentions(mentions: DataFrame, keys: tuple[str, ...] = ("doc_id", "s"))
     return mentions.withColumn("__r", r).where("__r = 1").drop("__r")
 
 
-def mention_pairs(mentions: DataFrame, keys: tuple[str, ...] = ("doc_id", "s"), monster: int | None = MONSTER) -> DataFrame:
-    """(keys, name1, begin1, end1, ord1, name2, ...): pairs in position order, of sentences below the cap."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    kept = mentions.withColumn("__n", n)
-    kept = kept.where(F.col("__n") * (F.col("__n") - 1) / 2 < monster) if monster is not None else kept
+def mention_pairs(mentions: DataFrame, keys: tuple[str, ...] = ("doc_id", "s"), monster: int | None = None) -> DataFrame:
+    """(keys, name1, begin1, end1, ord1, name2, ...): pairs in position order; sentences with ``monster`` pairs or more are left out first."""
+    kept = mentions
+    if monster is not None:
+        n = F.count("*").over(Window.partitionBy(*keys))
+        kept = mentions.withColumn("__n", n).where(F.col("__n") * (F.col("__n") - 1) / 2 < monster)
     one = lambda k: kept.select(*keys, *(F.col(c).alias(f"{c}{k}") for c in ("name", "begin", "end", "ord")))
     return one(1).join(one(2), list(keys)).where("ord1 < ord2")
 
