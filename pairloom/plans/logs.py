@@ -64,7 +64,7 @@ def plain_vocabulary(s: SparkSession, d: str) -> DataFrame:
 
 
 def flags(s: SparkSession, d: str) -> DataFrame:
-    n = table(s, d, "documents").where("lang = 'en'").select("doc_id", L.clean_name(F.substring("text", 1, 28), unicode=False).alias("name"))
+    n = table(s, d, "documents").where("lang = 'en'").select("doc_id", L.clean_name(F.col("text"), unicode=False).alias("name"))
     return n.select("doc_id", L.bad_name(F.col("name")).alias("bad"), L.bad_group(F.col("name")).alias("bad_group"), L.bad_drug(F.col("name")).alias("bad_drug"), L.unusable(F.col("name")).alias("unusable"))
 
 

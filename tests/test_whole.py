@@ -2,6 +2,7 @@
 
 from itertools import combinations
 
+import duckdb
 from pyspark.sql import functions as F
 
 from pairloom import plans
@@ -27,3 +28,12 @@ def test_pair_queries_have_every_pair(spark):
         assert sorted(map(tuple, got)) == want, name
     first = {k: {n for _, n in v} for k, v in at.items()}
     assert plans.QUERIES["pairs_labelled_by_name"](spark, MIDDLE).count() == sum(len(v) * (len(v) - 1) // 2 for v in first.values())
+
+
+def test_flags_see_whole_texts(spark, small):
+    sql = plans.ORACLES["names_flags"].replace("substr(text, 1, 28)", "text")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{small}/documents.parquet'")
+    cols = ("doc_id", "bad", "bad_group", "bad_drug", "unusable")
+    want = sorted(c.execute(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall())
+    assert sorted(map(tuple, plans.QUERIES["names_flags"](spark, small).select(*cols).collect())) == want
