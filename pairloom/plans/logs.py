@@ -74,7 +74,7 @@ def made_specs(s: SparkSession, d: str) -> DataFrame:
 
 def probed(s: SparkSession, d: str) -> DataFrame:
     """The probe on English documents: label given away by words?"""
-    p = probe(documents(s, d).where("source = 'en'"), 2000)
+    p = probe(documents(s, d).where("source = 'en'"))
     return s.createDataFrame([(float(p["lift"]), float(p["f1"]), float(p["baseline"]))], "lift double, f1 double, baseline double")
 
 

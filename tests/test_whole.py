@@ -1,5 +1,6 @@
 """Queries do the whole job: no row, text or feature is left out to make them smaller."""
 
+import inspect
 from itertools import combinations
 
 import duckdb
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 
 from pairloom import plans
 from pairloom.operators import pairs
+from pairloom.operators.probe import probe
+from pairloom.plans import logs
 
 MIDDLE = "/root/testdata/sf0.01"
 
@@ -37,3 +40,11 @@ def test_flags_see_whole_texts(spark, small):
     cols = ("doc_id", "bad", "bad_group", "bad_drug", "unusable")
     want = sorted(c.execute(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall())
     assert sorted(map(tuple, plans.QUERIES["names_flags"](spark, small).select(*cols).collect())) == want
+
+
+def test_probe_has_the_default_features(spark, small, monkeypatch):
+    asked = []
+    monkeypatch.setattr(logs, "probe", lambda *a, **k: asked.append(inspect.signature(probe).bind(*a, **k)) or {"lift": 0, "f1": 0, "baseline": 0})
+    plans.QUERIES["probe_shortcut"](spark, small)
+    asked[0].apply_defaults()
+    assert asked[0].arguments["max_features"] >= 5000
