@@ -3,36 +3,86 @@
 A message's content is a list of parts: text, image, audio or document.  A visitor goes
 through them in order and flattens them to one string: text stays, anything else becomes
 a placeholder, numbered over the conversation, whose attachment is recorded with the
-number of tokens it expands to in the model's input.
+number of tokens it expands to in the model's input.  Text and roles can't say a marker
+or a placeholder: what would begin one is escaped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import TOKENIZER, Encoder, slices, table
 
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 PARTS = f"array<{PART}>"
 #: Image tiles of this many pixels a side and tokens of each, plus one overview tile.
-TILE, TILE_TOKENS, MAX_SIDE = 448, 256, 4032
+TILE, TILE_TOKENS = 448, 256
 AUDIO_TOKENS_A_SECOND, PAGE_TOKENS = 25, 1024
 ROLE = {"system": "<|system|>", "user": "<|user|>", "assistant": "<|assistant|>"}
 END = "<|end|>"
+_ATTACHED = [("n", T.IntegerType()), ("turn", T.LongType()), ("type", T.StringType()), ("ref", T.StringType()), ("tokens", T.LongType())]
 
 
-def visitors() -> dict[str, Column]:
-    """Tokens that the placeholder of each type of part expands to, over a part ``p``; unknown sizes count as the least."""
-    side = lambda x: F.expr(f"greatest(1, ceil(least(greatest(coalesce(p.{x}, 1), 1), {MAX_SIDE}) / {TILE}))")
-    return {
-        "image": (side("width") * side("height") + 1) * TILE_TOKENS,
-        "audio": F.expr(f"greatest(1, ceil(greatest(coalesce(p.seconds, 0), 0) * {AUDIO_TOKENS_A_SECOND}))"),
-        "document": F.expr(f"greatest(1, coalesce(p.pages, 1)) * {PAGE_TOKENS}"),
-    }
+def _tiles(side: int | None) -> int:
+    return max(1, -(-max(side or 1, 1) // TILE))
+
+
+def _seconds(x: float | None) -> float:
+    return x if x is not None and 0 < x < float("inf") else 0.0
+
+
+#: Tokens that the placeholder of each type of part expands to; unknown sizes count as the least.
+VISIT: dict[str, Callable[[dict], int]] = {
+    "image": lambda p: (_tiles(p["width"]) * _tiles(p["height"]) + 1) * TILE_TOKENS,
+    "audio": lambda p: max(1, math.ceil(_seconds(p["seconds"]) * AUDIO_TOKENS_A_SECOND)),
+    "document": lambda p: max(1, p["pages"] or 1) * PAGE_TOKENS,
+}
+_MARK = re.compile(r"(^|<)\|")
+
+
+def escaped(text: str) -> str:
+    """Text in which no marker can begin, and which completes none that the text before it began."""
+    return _MARK.sub(r"\1\\|", text) if "|" in text else text
+
+
+def opened(role: str | None) -> str:
+    """The line that begins a message; roles that aren't known stand after ``role:``."""
+    if role is None:
+        return "<|unknown|>\n"
+    return ROLE.get(role, f"<|role:{re.sub('[<|>]|[\r\n]', '_', role)}|>") + "\n"
+
+
+def visited(messages: list[dict]) -> tuple[str, str, list[dict]]:
+    """(prompt, prompt without placeholders, attachments) of the messages in order."""
+    prompt: list[str] = []
+    said: list[str] = []
+    listed: list[dict] = []
+    for m in messages:
+        mark = opened(m["role"])
+        prompt.append(mark)
+        said.append(mark)
+        for p in m["parts"] or ():
+            if p is None:
+                continue
+            if p["type"] == "text":
+                if p["text"]:
+                    words = escaped(p["text"])
+                    prompt.append(words)
+                    said.append(words)
+                continue
+            kind = p["type"] if p["type"] in VISIT else "document"
+            listed.append({"n": len(listed) + 1, "turn": m["turn"], "type": kind, "ref": p["ref"], "tokens": VISIT[kind](p)})
+            prompt.append(f"<|{kind}_{len(listed)}|>")
+        prompt.append(END + "\n")
+        said.append(END + "\n")
+    return "".join(prompt), "".join(said), listed
 
 
 def text_parts(text: Column) -> Column:
@@ -53,48 +103,39 @@ def formatted(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
     Messages go by turn, equal turns by role and content; a null turn comes first.  A
     message is its role's marker, a line break, its flattened parts and the end marker.
-    Unknown roles are written as ``<|role|>``, null ones as ``<|unknown|>``.  Null and
-    empty text parts and null parts add nothing; a part of an unknown type is a document.
+    Unknown roles are written as ``<|role:NAME|>``, null ones as ``<|unknown|>``.  Null and
+    empty text parts and null parts add nothing; a part of an unknown type, a null one
+    too, is a document.  In text, ``<|`` is written as ``<\\|``, and so is a ``|`` that a
+    part begins with, so that nobody can write a marker or a placeholder.
     ``attachments`` lists (n, turn, type, ref, tokens) by placeholder ``<|type_n|>``;
-    ``text_tokens`` counts the prompt without placeholders, whole, and ``expanded_tokens``
-    adds what these expand to.  A conversation without any part has markers only.  Rows
-    with a null conversation are left out; repeated rows are repeated messages.  Other
-    columns are left out.
+    images count by tiles whatever their size, sizes that are null, not positive or not
+    finite as the least.  ``text_tokens`` counts the prompt without placeholders, whole,
+    and ``expanded_tokens`` adds what these expand to.  A conversation without any part
+    has markers only.  Rows with a null conversation are left out; repeated rows are
+    repeated messages.  Other columns are left out.  A prompt is one value, so one task
+    holds a conversation, as long as it is.
     """
     rows = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(parts_col).cast(PARTS).alias("parts")).where("conv_id IS NOT NULL")
     one = F.struct("turn", "role", "parts")
-    convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("m"), F.count("*").cast("int").alias("n_messages"))
-    # array_sort puts null fields last; turns without a number are moved to the front
-    convs = convs.withColumn("m", F.concat(F.filter("m", lambda x: x["turn"].isNull()), F.filter("m", lambda x: x["turn"].isNotNull())))
-    known = F.create_map(*(F.lit(x) for kv in ROLE.items() for x in kv))
-    opened = lambda x: F.concat(F.coalesce(known[x["role"]], F.concat(F.lit("<|"), F.coalesce(x["role"], F.lit("unknown")), F.lit("|>"))), F.lit("\n"))
-    bare = F.expr(f"cast(null as {PART})")
-    begin = lambda x: F.array(F.struct(x["turn"].alias("turn"), opened(x).alias("mark"), bare.alias("p")))
-    close = lambda x: F.array(F.struct(x["turn"].alias("turn"), F.lit(END + "\n").alias("mark"), bare.alias("p")))
-    inner = lambda x: F.transform(F.filter(F.coalesce(x["parts"], F.expr(f"cast(array() as {PARTS})")), lambda p: p.isNotNull() & ((p["type"] != "text") | (F.coalesce(p["text"], F.lit("")) != ""))), lambda p: F.struct(x["turn"].alias("turn"), F.lit(None).cast("string").alias("mark"), p.alias("p")))
-    flat = convs.select("conv_id", "n_messages", F.flatten(F.transform("m", lambda x: F.concat(begin(x), inner(x), close(x)))).alias("items"))
-    each = flat.select("conv_id", "n_messages", F.posexplode("items").alias("at", "i")).select("conv_id", "n_messages", "at", "i.*")
-    kind = F.when(F.col("p").isNull() | (F.col("p.type") == "text"), None).when(F.col("p.type").isin(*visitors()), F.col("p.type")).otherwise("document")
-    tokens = F.lit(None).cast("long")
-    for name, count in visitors().items():
-        tokens = F.when(F.col("kind") == name, count.cast("long")).otherwise(tokens)
-    each = each.withColumn("kind", kind).withColumn("tokens", tokens)
-    item = F.struct("at", "mark", F.col("p.text").alias("text"), "kind", "turn", F.col("p.ref").alias("ref"), "tokens")
-    again = each.groupBy("conv_id", "n_messages").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    attached = F.filter("items", lambda x: x["kind"].isNotNull())
-    listed = F.transform(attached, lambda x, n: F.struct((n + 1).alias("n"), x["turn"].alias("turn"), x["kind"].alias("type"), x["ref"].alias("ref"), x["tokens"].alias("tokens")))
-    numbered = F.transform("items", lambda x, at: F.when(x["kind"].isNull(), F.coalesce(x["mark"], x["text"])).otherwise(F.concat(F.lit("<|"), x["kind"], F.lit("_"), F.size(F.filter(F.slice("items", F.lit(1), at + 1), lambda y: y["kind"].isNotNull())).cast("string"), F.lit("|>"))))
-    out = again.select("conv_id", F.array_join(numbered, "").alias("prompt"), listed.alias("attachments"), "n_messages", F.array_join(F.transform(F.filter("items", lambda x: x["kind"].isNull()), lambda x: F.coalesce(x["mark"], x["text"])), "").alias("said"))
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("m"))
+    kind = T.StructType([T.StructField("conv_id", messages.schema[conv_col].dataType), T.StructField("prompt", T.StringType()), T.StructField("attachments", T.ArrayType(T.StructType([T.StructField(n, t) for n, t in _ATTACHED]))), T.StructField("n_messages", T.IntegerType()), T.StructField("text_tokens", T.LongType()), T.StructField("expanded_tokens", T.LongType())])
+    listing = pa.list_(pa.struct([("n", pa.int32()), ("turn", pa.int64()), ("type", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(tokenizer)
         for b in slices(batches):
-            lens = pa.array([enc.length(t) for t in b.column(4).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], lens], names=[*b.schema.names[:4], "text_tokens"])
+            prompts, lists, counts, tokens, expanded = [], [], [], [], []
+            for m in b.column(1).to_pylist():
+                # array_sort puts null fields last; messages without a turn go first
+                prompt, said, listed = visited([x for x in m if x["turn"] is None] + [x for x in m if x["turn"] is not None])
+                prompts.append(prompt)
+                lists.append(listed)
+                counts.append(len(m))
+                tokens.append(enc.length(said))
+                expanded.append(tokens[-1] + sum(x["tokens"] for x in listed))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prompts, pa.string()), pa.array(lists, listing), pa.array(counts, pa.int32()), pa.array(tokens, pa.int64()), pa.array(expanded, pa.int64())], names=kind.names)
 
-    schema = out.select("conv_id", "prompt", "attachments", "n_messages", F.lit(0).cast("long").alias("text_tokens")).schema
-    extra = F.aggregate("attachments", F.lit(0).cast("long"), lambda acc, a: acc + a["tokens"])
-    return out.mapInArrow(counted, schema).withColumn("expanded_tokens", F.col("text_tokens") + extra)
+    return convs.mapInArrow(run, kind)
 
 
 def with_attachments(conversations: DataFrame) -> DataFrame:
@@ -119,4 +160,9 @@ def with_attachments(conversations: DataFrame) -> DataFrame:
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation of the table, with parts added by ``with_attachments``.
+
+    Nulls, empty and long texts, ties, repeated rows, empty tables and further columns are
+    as in ``formatted``.
+    """
     return formatted(with_attachments(table(spark, sf_dir, "conversations")))

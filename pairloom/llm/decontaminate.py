@@ -1,7 +1,8 @@
 """Benchmark decontamination: test n-grams are looked up in every window of training tokens.
 
 Tokens are runs of word characters in lower case.  The n-grams of all test items, and
-the whole of items shorter than n, form a hash set that every executor holds; windows of
+the whole of items shorter than n, form a hash set that every worker holds, bounded in
+bytes; windows of
 a document are hashed alike, hits are verified token by token, and what verified windows
 cover is cut out of the text.  Where they cover a large part, the document goes.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,11 @@ from .common import fresh, lowered, shared_dir, slices, table, word_spans, writt
 N = 8
 #: Share of a document's tokens in test passages from which the whole document goes.
 SHARE = 0.5
-#: Test n-grams held at once; more are looked up in as many passes as they need.
-HELD = 2_000_000
+#: Bytes of test text held at once; more are looked up in as many passes as they need.  A
+#: worker holds about 20 bytes for each token of it and the different words: 150 MB or so.
+HELD = 32 << 20
+#: Tokens of the pieces that test items are cut into, which overlap by n - 1.
+PIECE = 4096
 _WORD = re.compile(r"\w+")
 _TAIL = re.compile(r"[^\w\s]*\s*")
 _P = np.uint64(0x100000001B3)
@@ -32,20 +37,39 @@ _SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
 class Grams:
-    """Windows of test items, found in lists of tokens."""
+    """Windows of test items, found in lists of tokens.
 
-    def __init__(self, grams: list[tuple[str, ...]]):
+    The items' tokens lie in one array of numbers; a window is its hash, in a sorted
+    array, and where it begins.  Workers get these arrays and the words, and number the
+    words once.
+    """
+
+    def __init__(self, items: list[list[str]], n: int):
         names: dict[str, int] = {}
-        self.get = names.get
-        coded = [tuple(names.setdefault(w, len(names)) for w in g) for g in grams]
-        self._by: dict[int, tuple[np.ndarray, dict[int, set[tuple[int, ...]]]]] = {}
-        for n in sorted({len(g) for g in coded}):
-            own = [g for g in coded if len(g) == n]
-            keys = self._hashes(np.array(own, dtype=np.int64).ravel(), n)[::n]
-            exact: dict[int, set[tuple[int, ...]]] = {}
-            for k, g in zip(keys.tolist(), own, strict=True):
-                exact.setdefault(k, set()).add(g)
-            self._by[n] = (np.unique(keys), exact)
+        self.ids = np.array([names.setdefault(w, len(names)) for item in items for w in item], dtype=np.int32)
+        starts: dict[int, list[np.ndarray]] = {}
+        at = 0
+        for item in items:
+            size = min(n, len(item))
+            starts.setdefault(size, []).append(np.arange(at, at + len(item) - size + 1, dtype=np.int64))
+            at += len(item)
+        self.by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size, some in starts.items():
+            start = np.concatenate(some)
+            key = self._hashes(self.ids, size)[start]
+            words = self.ids[start[:, None] + np.arange(size)]
+            order = np.lexsort((*words.T[::-1], key))
+            start, key, words = start[order], key[order], words[order]
+            new = np.r_[True, (key[1:] != key[:-1]) | (words[1:] != words[:-1]).any(1)]
+            self.by[size] = (key[new], start[new])
+        self.words = "\n".join(names)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "number"}
+
+    @cached_property
+    def number(self) -> dict[str, int]:
+        return {w: i for i, w in enumerate(self.words.split("\n"))}
 
     @staticmethod
     def _hashes(ids: np.ndarray, n: int) -> np.ndarray:
@@ -58,10 +82,10 @@ class Grams:
 
     def spans(self, tokens: list[str]) -> list[tuple[int, int]]:
         """Stretches of tokens [from, to) that verified windows cover."""
-        get = self.get
-        ids = np.array([get(w, -1) for w in tokens], dtype=np.int64)
+        get = self.number.get
+        ids = np.array([get(w, -1) for w in tokens], dtype=np.int32)
         out: list[tuple[int, int]] = []
-        for n, (keys, exact) in self._by.items():
+        for n, (keys, starts) in self.by.items():
             if len(ids) < n:
                 continue
             unknown = np.r_[0, np.cumsum(ids < 0)]
@@ -69,10 +93,13 @@ class Grams:
             if not len(at):
                 continue
             h = self._hashes(ids, n)[at]
-            found = np.searchsorted(keys, h)
-            for k in at[keys[np.minimum(found, len(keys) - 1)] == h].tolist():
-                if tuple(ids[k : k + n].tolist()) in exact[int(self._hashes(ids[k : k + n], n)[0])]:
-                    out.append((k, k + n))
+            first, last = np.searchsorted(keys, h), np.searchsorted(keys, h, side="right")
+            while (left := first < last).any():
+                at, first, last = at[left], first[left], last[left]
+                own = np.arange(n)
+                same = (ids[at[:, None] + own] == self.ids[starts[first][:, None] + own]).all(1)
+                out += [(k, k + n) for k in at[same].tolist()]
+                first = first + 1
         return joined(out)
 
 
@@ -99,34 +126,35 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[start:]]).strip()
 
 
-def test_grams(benchmark: DataFrame, text_col: str = "text", n: int = N) -> DataFrame:
-    """(gram: array of tokens) of all items, each once; a shorter item is one gram as a whole."""
+def test_items(benchmark: DataFrame, text_col: str = "text", n: int = N, piece: int = PIECE) -> DataFrame:
+    """(item: array of tokens) of all items, each once, cut into pieces that overlap by n - 1 tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = set()
+        for b in slices(batches):
+            out = []
             for t in b.column(0).to_pylist():
                 w = tokens(t)
-                if w:
-                    out |= {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))}
-            yield pa.RecordBatch.from_arrays([pa.array([list(g) for g in sorted(out)], pa.list_(pa.string()))], names=["gram"])
+                out += [w[k : k + piece] for k in range(0, max(1, len(w) - n + 1), piece - n + 1)] if w else []
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], names=["item"])
 
-    return benchmark.select(F.col(text_col).cast("string")).dropna().mapInArrow(run, "gram array<string>").distinct()
+    return benchmark.select(F.col(text_col).cast("string")).dropna().mapInArrow(run, "item array<string>").distinct()
 
 
-def _chunks(grams: DataFrame, held: int) -> list[list[tuple[str, ...]]]:
-    count = grams.count()
-    parts = -(-count // held)
-    if parts <= 1:
-        return [[tuple(r[0]) for r in grams.collect()]] if count else []
-    return [[tuple(r[0]) for r in grams.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == k).collect()] for k in range(parts)]
+def _parts(items: DataFrame, n: int, held: int) -> Iterator[Grams]:
+    """Grams of shares of the items, each about ``held`` bytes of text; the driver has one at a time."""
+    size = items.agg(F.sum(F.octet_length(F.array_join("item", " ")))).first()[0] or 0
+    parts = -(-size // held)
+    for k in range(parts):
+        got = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k).collect()
+        if got:
+            yield Grams([r[0] for r in got], n)
 
 
 def _scan(sent, at: int, first: bool):
     """Adds the spans of one held set to the last column, rows by rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams(sent.value)
+        grams = sent.value
         for b in slices(batches):
             old = [()] * b.num_rows if first else b.column(b.num_columns - 1).to_pylist()
             spans = [None if t is None else joined([*((s["a"], s["b"]) for s in o), *grams.spans(tokens(t))]) for t, o in zip(b.column(at).to_pylist(), old, strict=True)]
@@ -141,11 +169,13 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, text_col: str, bench_col: st
     spark = docs.sparkSession
     at = docs.columns.index(text_col)
     now = docs.withColumn(out, F.when(F.col(text_col).isNotNull(), F.expr("cast(array() as array<struct<a:int,b:int>>)")))
-    parts = _chunks(test_grams(benchmark, bench_col, n), held)
     folder = shared_dir(spark)
-    for k, part in enumerate(parts[:-1]):
-        now = written(now.mapInArrow(_scan(spark.sparkContext.broadcast(part), at, k == 0), now.schema), f"{folder}/{k}")
-    return now, _scan(spark.sparkContext.broadcast(parts[-1]), at, len(parts) == 1) if parts else None
+    last = None
+    for k, part in enumerate(_parts(written(test_items(benchmark, bench_col, n), f"{folder}/items"), n, held)):
+        if last is not None:
+            now = written(now.mapInArrow(last, now.schema), f"{folder}/{k}")
+        last = _scan(spark.sparkContext.broadcast(part), at, k == 0)
+    return now, last
 
 
 def scanned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", bench_col: str = "text", n: int = N, held: int = HELD, out: str = "__spans") -> DataFrame:
@@ -153,9 +183,9 @@ def scanned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", bench
 
     Null texts have null stretches; texts without tokens, and any text where there is no
     test item, have none.  Test items that are null or without tokens, and repeated ones,
-    add nothing.
+    add nothing.  A column of docs named like the new one is replaced.
     """
-    now, rest = _scanned(docs, benchmark, text_col, bench_col, n, held, out)
+    now, rest = _scanned(docs.drop(out), benchmark, text_col, bench_col, n, held, out)
     return now if rest is None else now.mapInArrow(rest, now.schema)
 
 
@@ -218,4 +248,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in which passages of the benchmark are found, with their spans.
+
+    Nulls, empty and long texts, repeated rows, empty tables and further columns are as
+    in ``contaminated``; there are no ties.
+    """
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

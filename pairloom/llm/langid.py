@@ -8,10 +8,11 @@ within ``margin`` of it, relative to it, the text is rejected.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +20,8 @@ from .common import slices, table
 
 #: Labelled documents of a language that its dictionary is fitted on at most, and bytes of each.
 SAMPLE_DOCS, SAMPLE_BYTES = 96, 1024
+#: Languages that can be told apart; every worker holds a dictionary of each.
+LANGUAGES = 512
 #: Bytes compressed at a time; short enough that the dictionary stays what most is copied from.
 PIECE = 2048
 #: Spaces after each piece: a piece on its own may be too short to be stored compressed at all.
@@ -30,27 +33,40 @@ MARGIN = 0.003
 def dictionaries(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = SAMPLE_DOCS, doc_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
     """Raw dictionary content by language, from a bounded sample of labelled rows.
 
-    The sample is the ``docs`` rows of each language that come first by a hash of the id,
-    with ``doc_bytes`` from the middle of each: the documented bound of the fit.  Rows
-    with a null label or text and empty texts are no labelled rows.  Languages without a
-    sample have no dictionary.
+    The sample is the ``docs`` rows of each language that come first by a hash of the id
+    (of the text where the id is null) and of the text, with ``doc_bytes`` from the middle
+    of each: the documented bound of the fit.  Rows with a null label or text and empty
+    texts are no labelled rows, equal rows are one.  Languages without a sample have no
+    dictionary; more than ``LANGUAGES`` labels are an error.
+
+    Labels are counted first; then one scan takes the rows below a hash that lets about
+    four times ``docs`` of each language through, and of these the first are kept.  Only
+    where repeated rows leave too few is the share widened and the scan repeated.
     """
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where("lang IS NOT NULL AND text <> ''").withColumn("h", F.md5(F.coalesce("id", F.lit(""))))
-    names = [r[0] for r in rows.select("lang").distinct().collect()]
-    bound = {}
-    for name in names:
-        last = rows.where(F.col("lang") == name).select("h").orderBy("h").limit(docs).agg(F.max("h")).first()[0]
-        bound[name] = last
-    chosen: Column = F.lit(False)
-    for name, last in bound.items():
-        chosen = chosen | ((F.col("lang") == name) & (F.col("h") <= last))
+    counted = rows.where("lang IS NOT NULL").groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(counted) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    many = {r["lang"]: r["count"] for r in counted}
+    rows = rows.where("lang IS NOT NULL AND text <> ''").withColumn("h", F.md5(F.coalesce("id", "text")))
     middle = F.greatest(F.lit(1), ((F.length("text") - doc_bytes) / 2).cast("int"))
-    found = rows.where(chosen).select("lang", "h", F.substring("text", middle, F.lit(doc_bytes)).alias("part")).collect() if names else []
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
+    found: list = []
+    share = {name: min(1.0, (4 * docs + 64) / n) for name, n in many.items()}
+    while share:
+        passed = F.lit(False)
+        for name, part in share.items():
+            own = F.col("lang") == name
+            passed = passed | (own if part >= 1 else own & (F.col("h") < f"{int(part * 2**32):08x}"))
+        some = rows.where(passed).select("lang", "h", F.xxhash64("text").alias("t"), F.substring("text", middle, F.lit(doc_bytes)).alias("part"))
+        got = some.withColumn("again", F.row_number().over(Window.partitionBy("lang", "h", "t").orderBy("part"))).where(F.col("again") == 1).withColumn("place", place).where(F.col("place") <= docs).select("lang", "h", "t", "part").collect()
+        have = Counter(r.lang for r in got)
+        found += [r for r in got if have[r.lang] >= docs or share[r.lang] >= 1]
+        share = {name: min(1.0, 16 * part) for name, part in share.items() if have[name] < docs and part < 1}
     out: dict[str, bytes] = {}
-    for name in sorted(names):
-        parts = sorted((r.h, r.part) for r in found if r.lang == name)[:docs]
-        out[name] = b"\n".join(p.lower().encode()[:doc_bytes] for _, p in parts)
+    for name in sorted({r.lang for r in found}):
+        parts = sorted((r.h, r.t, r.part) for r in found if r.lang == name)
+        out[name] = b"\n".join(x.lower().encode()[:doc_bytes] for _, _, x in parts)
     return out
 
 
@@ -105,5 +121,10 @@ def identified(docs: DataFrame, dicts: dict[str, bytes], text_col: str = "text",
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by dictionaries fitted on a bounded sample of the labels.
+
+    Null ids and texts, empty and long texts, ties, repeated rows, empty tables and
+    further columns are as in ``dictionaries`` and ``identified``.
+    """
     docs = table(spark, sf_dir, "documents")
     return identified(docs.select("doc_id", "text"), dictionaries(docs)).drop("text")

@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Spellings that mean the same, as words of the canonical form.
-SPELLINGS = [("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("copyrights", "copyright"), ("organisation", "organization"), ("favour", "favor"), ("https", "http"), ("merchantibility", "merchantability"), ("noncommercial", "non commercial"), ("non-commercial", "non commercial"), ("v2", "version 2"), ("v3", "version 3"), ("the", "")]
+#: Spellings that mean the same, as words of the canonical form, with two spaces between words.
+SPELLINGS = [("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("copyrights", "copyright"), ("organisation", "organization"), ("favour", "favor"), ("https", "http"), ("merchantibility", "merchantability"), ("noncommercial", "non  commercial"), ("v2", "version  2"), ("v3", "version  3"), ("the", "")]
 #: A line that only says who holds the copyright, and since when.
-COPYRIGHT = r"(?m)^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*(?:\n|$)"
+COPYRIGHT = r"(?m)^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*"
+#: What stands between words, line breaks apart.
+BETWEEN = r"[^a-z0-9\n\p{L}\p{N}\p{M}]+"
+#: Known digests up to this number are broadcast (60 bytes each); more are joined by a shuffle.
+BROADCAST = 200_000
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -75,21 +79,49 @@ KNOWN: list[tuple[str, str]] = [
 ]
 
 
-def canonical(text: Column) -> Column:
-    """One form of texts that say the same: lower case ASCII words, single spaces, no copyright lines."""
-    t = F.lower(text)
-    t = F.regexp_replace(t, COPYRIGHT, "")
-    t = F.regexp_replace(t, r"[^a-z0-9]+", " ")
-    t = F.concat(F.lit(" "), F.trim(t), F.lit(" "))
+#: (licence, digest of the canonical form) of the texts of long licences, as their publishers give them.
+DIGESTS: list[tuple[str, str]] = [
+    ("Apache-2.0", "79dcd053122b6a384d991899cfeff71d"),
+    ("Artistic-1.0-Perl", "f1bc1b69b34d3e6d04ab280b25280b5d"),
+    ("CC0-1.0", "85b9fc191033cbf24d7942f5ed11fa53"),
+    ("GFDL-1.2", "d35d680b01b818fd5b7f0e3f0631c430"),
+    ("GFDL-1.3", "51639b875194f18a99cbf779dd7de555"),
+    ("GPL-1.0", "3b2659fa1792c5274774c55153a6c835"),
+    ("GPL-2.0", "a5d09c32bac04ee7d1b51823be3480de"),
+    ("GPL-3.0", "3fd224aa0b77bddf813343721f3e517a"),
+    ("LGPL-2.0", "699b498dba005aed7056d9ab5e36ed6e"),
+    ("LGPL-2.1", "cf9fc208be0dd676a0a0b868934890fd"),
+    ("LGPL-3.0", "5ea1be2e00890e15e83ba84c5d239237"),
+    ("MPL-1.1", "1c327adb6d8603d39f271d629d954aae"),
+    ("MPL-2.0", "86df599c1d8f67e6ba14c5abc31b69be"),
+]
+
+
+def canonical_lines(text: Column) -> Column:
+    """The lines of a text, each in the form of texts that say the same: lower case words of any script, single spaces, no copyright lines.
+
+    Words stand between spaces of their own until spellings are replaced, so that of two
+    neighbours neither is missed.
+    """
+    t = F.regexp_replace(F.lower(text), COPYRIGHT, "")
+    t = F.regexp_replace(t, BETWEEN, "  ")
+    t = F.concat(F.lit(" "), F.replace(t, F.lit("\n"), F.lit(" \n ")), F.lit(" "))
     for said, meant in SPELLINGS:
-        t = F.replace(t, F.lit(f" {said.replace('-', ' ')} "), F.lit(f" {meant} " if meant else " "))
-    return F.trim(t)
+        t = F.replace(t, F.lit(f" {said} "), F.lit(f" {meant} " if meant else ""))
+    return F.transform(F.split(F.replace(t, F.lit("  "), F.lit(" ")), "\n"), lambda x: F.trim(x))
 
 
-def digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(license, digest) of known texts; a digest that two licences share is theirs both."""
+def whole(lines: Column) -> Column:
+    """The canonical form of the whole text from those of its lines."""
+    return F.array_join(F.filter(lines, lambda x: x != ""), " ")
+
+
+def digests(spark: SparkSession, known: list[tuple[str, str]] | None = None, more: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(license, digest) of known texts, and of further digests; a digest that two licences share is theirs both."""
     rows = spark.createDataFrame(KNOWN if known is None else known, "license string, text string")
-    return rows.select("license", F.md5(canonical(F.col("text"))).alias("digest"), F.length(canonical(F.col("text"))).alias("size")).where("size > 0").select("license", "digest").distinct()
+    form = rows.select("license", whole(canonical_lines(F.col("text"))).alias("form")).where("form <> ''").select("license", F.md5("form").alias("digest"))
+    given = (DIGESTS if known is None else []) if more is None else more
+    return form.unionByName(spark.createDataFrame(given, "license string, digest string")).distinct()
 
 
 def licensed(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,35 +134,48 @@ def licensed(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col
     are left out.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    lines = rows.select("doc_id", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("line", "part"))
-    looked = lines.select("doc_id", "line", F.md5(canonical(F.col("part"))).alias("digest"))
+    forms = rows.select("doc_id", canonical_lines(F.col("text")).alias("forms"))
+    parts = forms.select("doc_id", F.posexplode(F.concat(F.array(whole(F.col("forms"))), F.col("forms"))).alias("line", "part")).where("part <> ''")
+    looked = parts.select("doc_id", "line", F.md5("part").alias("digest"))
     unit = F.when(F.col("line") == 0, "text").otherwise("line")
-    return looked.join(known, "digest").select("doc_id", unit.alias("unit"), F.col("line").cast("int").alias("line"), "license")
+    small = known.limit(BROADCAST + 1).count() <= BROADCAST
+    return looked.join(F.broadcast(known) if small else known, "digest").select("doc_id", unit.alias("unit"), F.col("line").cast("int").alias("line"), "license")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and lines of the whole table that are known licence texts.
+
+    Nulls, empty and long texts, repeated rows, empty tables and further columns are as
+    in ``licensed``; a digest of several licences gives a row for each.
+    """
     return licensed(table(spark, sf_dir, "documents"), digests(spark))
 
 
 def _sql() -> str:
-    def form(x: str) -> str:
-        t = f"regexp_replace(regexp_replace(lower({x}), '{COPYRIGHT}', '', 'g'), '[^a-z0-9]+', ' ', 'g')"
-        t = f"' ' || trim({t}) || ' '"
+    def lines(x: str) -> str:
+        t = f"regexp_replace(regexp_replace(lower({x}), '{COPYRIGHT}', '', 'g'), '{BETWEEN}', '  ', 'g')"
+        t = f"' ' || replace({t}, chr(10), ' ' || chr(10) || ' ') || ' '"
         for said, meant in SPELLINGS:
-            t = f"replace({t}, ' {said.replace('-', ' ')} ', ' {meant} ')" if meant else f"replace({t}, ' {said} ', ' ')"
-        return f"trim({t})"
+            t = f"replace({t}, ' {said} ', '{f' {meant} ' if meant else ''}')"
+        return f"list_transform(string_split(replace({t}, '  ', ' '), chr(10)), lambda x: trim(x))"
 
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in KNOWN)
+    given = ", ".join(f"({quoted(name)}, {quoted(d)})" for name, d in DIGESTS)
+    join = "array_to_string(list_filter(forms, lambda x: x <> ''), ' ')"
     return f"""
-WITH known AS (SELECT DISTINCT license, md5({form("text")}) AS digest FROM (VALUES {known}) AS k(license, text) WHERE length({form("text")}) > 0),
+WITH texts AS (SELECT license, {lines("text")} AS forms FROM (VALUES {known}) AS k(license, text)),
+known AS (
+  SELECT license, md5({join}) AS digest FROM texts WHERE {join} <> ''
+  UNION SELECT license, digest FROM (VALUES {given}) AS g(license, digest)
+),
+docs AS (SELECT doc_id, {lines("text")} AS forms FROM documents WHERE text IS NOT NULL),
 parts AS (
-  SELECT doc_id, 'text' AS unit, 0 AS line, text AS part FROM documents WHERE text IS NOT NULL
+  SELECT doc_id, 'text' AS unit, 0 AS line, {join} AS part FROM docs
   UNION ALL
-  SELECT doc_id, 'line' AS unit, i AS line, string_split(text, chr(10))[i] AS part
-  FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)
+  SELECT doc_id, 'line' AS unit, i AS line, forms[i] AS part FROM (SELECT doc_id, forms, unnest(range(1, len(forms) + 1)) AS i FROM docs)
 )
-SELECT doc_id, unit, CAST(line AS INTEGER) AS line, license FROM parts JOIN known ON md5({form("part")}) = digest
+SELECT doc_id, unit, CAST(line AS INTEGER) AS line, license FROM parts JOIN known ON md5(part) = digest WHERE part <> ''
 """
 
 

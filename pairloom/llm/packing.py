@@ -46,4 +46,9 @@ def packed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document of the table with its place in a bin.
+
+    Nulls, empty and long texts, ties, repeated rows, empty tables and further columns
+    are as in ``packed`` and ``packed_texts``.
+    """
     return packed_texts(table(spark, sf_dir, "documents"))

@@ -91,15 +91,23 @@ def token_codes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def tokens_at(levels: Column, position: Column) -> Column:
     """Token at a position of each row; null where the position or the levels are null or there is no such token."""
 
-    @F.udf(T.LongType(), useArrow=True)
-    def read(own, i):
+    def one(own, i) -> int | None:
         try:
             return None if own is None or i is None else token_at(own, int(i))
         except IndexError:
             return None
 
+    @F.arrow_udf(T.LongType())
+    def read(own: pa.Array, at: pa.Array) -> pa.Array:
+        return pa.array([one(x, i) for x, i in zip(own.to_pylist(), at.to_pylist(), strict=True)], pa.int64())
+
     return read(levels, position)
 
 
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of the whole documents table.
+
+    Nulls, empty and long texts, repeated rows, empty tables and further columns are as
+    in ``token_codes``; there are no ties.
+    """
     return token_codes(table(spark, sf_dir, "documents"))

@@ -21,11 +21,20 @@ def length_histogram(lengths: DataFrame, length_col: str = "n_tokens") -> DataFr
 
 
 def truncated_total(histogram: DataFrame, limits: DataFrame, limit_col: str = "limit") -> DataFrame:
-    """(limit, truncated, docs_cut) for any limits, exactly; null limits are left out and negative ones count as 0."""
-    asked = limits.select(F.greatest(F.col(limit_col).cast("long"), F.lit(0).cast("long")).alias("limit")).dropna().distinct()
-    h = histogram.select("length", "n_docs")
-    cut = h.crossJoin(F.broadcast(asked)).groupBy("limit").agg(F.sum(F.expr("n_docs * least(length, limit)")).alias("truncated"), F.sum(F.expr("if(length > limit, n_docs, 0)")).alias("docs_cut"))
-    return asked.join(cut, "limit", "left").select("limit", F.coalesce("truncated", F.lit(0)).alias("truncated"), F.coalesce("docs_cut", F.lit(0)).alias("docs_cut"))
+    """(limit, truncated, docs_cut) for any limits, exactly; null limits are left out and negative ones count as 0.
+
+    A limit takes the suffix sums of the next greater length, in one ordered pass over
+    lengths and limits; equal limits are one row.  Without a longer document nothing is
+    cut; an empty histogram has totals of 0.
+    """
+    asked = limits.select(F.greatest(F.col(limit_col).cast("long"), F.lit(0).cast("long")).alias("limit")).where(F.col(limit_col).isNotNull()).distinct()
+    h = histogram.select("length", F.struct("docs_from", "tokens_from").alias("next"), "tokens_total")
+    both = h.select(F.col("length").alias("at"), "next", "tokens_total", F.lit(0).alias("asks")).unionByName(asked.select(F.col("limit").alias("at"), F.lit(None).cast(h.schema["next"].dataType).alias("next"), F.lit(None).cast("long").alias("tokens_total"), F.lit(1).alias("asks")))
+    # a length equal to the limit comes before it, so what follows is longer
+    after = Window.orderBy("at", "asks").rowsBetween(1, Window.unboundedFollowing)
+    seen = both.withColumn("then", F.first("next", ignorenulls=True).over(after)).withColumn("total", F.max("tokens_total").over(Window.partitionBy())).where("asks = 1")
+    cut = F.col("total") - F.coalesce("then.tokens_from", F.lit(0)) + F.coalesce("then.docs_from", F.lit(0)) * F.col("at")
+    return seen.select(F.col("at").alias("limit"), F.coalesce(cut, F.lit(0)).alias("truncated"), F.coalesce("then.docs_from", F.lit(0)).alias("docs_cut"))
 
 
 def quantiles(histogram: DataFrame, shares: list[float]) -> DataFrame:
@@ -53,4 +62,10 @@ def length_histogram_of(counts: DataFrame) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram of the whole documents table.
+
+    Null texts are left out, empty ones have length 0, long ones are encoded whole;
+    repeated rows count each, equal lengths are one row, an empty table gives none, and
+    other columns are not read.
+    """
     return token_histogram(table(spark, sf_dir, "documents"))

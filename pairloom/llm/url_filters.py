@@ -100,6 +100,11 @@ def filtered(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = N
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decision on every page of the table, by a rule or by an alias of its address.
+
+    Nulls, ties, repeated rows, empty tables and further columns are as in ``filtered``;
+    of a page's text only canonical links and refreshes are read, and an empty one has none.
+    """
     rules = spark.createDataFrame(RULES, "decision string, rule string")
     return filtered(table(spark, sf_dir, "pages"), rules)
 

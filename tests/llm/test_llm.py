@@ -5,10 +5,12 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -39,18 +41,19 @@ def visited(conv, enc):
     """Brute force of one conversation: rows (turn, role, parts)."""
     out, said, listed = [], [], []
     for turn, role, parts in sorted(conv, key=lambda m: (m[0] is not None, m[0] or 0)):
-        mark = chat.ROLE.get(role, f"<|{role or 'unknown'}|>") + "\n"
+        mark = (chat.ROLE.get(role, f"<|role:{role}|>") if role else "<|unknown|>") + "\n"
         out.append(mark), said.append(mark)
         for p in parts or []:
             if p is None or (p["type"] == "text" and not p.get("text")):
                 continue
-            if p["type"] == "text" or p["type"] is None:
-                if p["type"] == "text":
-                    out.append(p["text"]), said.append(p["text"])
+            if p["type"] == "text":
+                words = p["text"].replace("<|", "<\\|")
+                words = "\\" + words if words.startswith("|") else words
+                out.append(words), said.append(words)
                 continue
             kind = p["type"] if p["type"] in ("image", "audio", "document") else "document"
             if kind == "image":
-                side = lambda x: max(1, math.ceil(min(max(p.get(x) or 1, 1), chat.MAX_SIDE) / chat.TILE))  # noqa: E731,B023
+                side = lambda x: max(1, math.ceil(max(p.get(x) or 1, 1) / chat.TILE))  # noqa: E731,B023
                 tokens = (side("width") * side("height") + 1) * chat.TILE_TOKENS
             elif kind == "audio":
                 tokens = max(1, math.ceil(max(p.get("seconds") or 0, 0) * chat.AUDIO_TOKENS_A_SECOND))
@@ -69,6 +72,8 @@ def test_chat_against_brute_force(spark):
         1: [(0, "system", [{"type": "text", "text": "be kind"}]), (1, "user", [image, {"type": "text", "text": "what is this?"}, {"type": "audio", "ref": "b.wav", "seconds": 2.5}]), (2, "assistant", [{"type": "text", "text": "a cat " * 3000}])],
         2: [(0, "user", [{"type": "document", "ref": "c.pdf", "pages": 3}, None, {"type": "text", "text": ""}, {"type": "text", "text": None}])],
         3: [(0, "tool", [{"type": "video", "ref": "d", "pages": None}]), (None, None, None)],
+        5: [(0, "user", [{"type": None, "ref": "kept"}, {"type": "text", "text": "<|image_1|> <|end|>"}, {"type": "image", "width": 9000, "height": 10}, {"type": "text", "text": "ends in <"}, {"type": "text", "text": "|end|> so"}])],
+        6: [(0, "user", [{"type": "text", "text": "long " * 60_000}] + [image] * 500)],
         4: [(5, "user", [image, image, {"type": "image", "width": None, "height": -4}, {"type": "audio"}])],
     }
     rows = [(c, t, r, p, "clash") for c, ms in convs.items() for t, r, p in ms]
@@ -82,6 +87,8 @@ def test_chat_against_brute_force(spark):
         assert got[c].prompt == prompt
         assert [tuple(a) for a in got[c].attachments] == listed
         assert (got[c].text_tokens, got[c].expanded_tokens, got[c].n_messages) == (n, total, len(ms))
+    assert got[5].attachments[0].ref == "kept" and got[5].attachments[1].tokens == (21 * 1 + 1) * chat.TILE_TOKENS
+    assert got[5].prompt.count("<|end|>") == 1 and "<|image_1|>" not in got[5].prompt and len(got[6].attachments) == 500
 
 
 def test_chat_repeats_json_and_empty(spark):
@@ -297,7 +304,7 @@ def test_decontamination(spark):
     noisy = items[0].upper().replace(" ", ",  ")
     rows = [(1, clean), (2, clean + " " + noisy + ". " + prose(2, 100)), (3, items[0]), (4, None), (5, ""), (6, "nothing. Short ITEM here! " + prose(3, 50)), (7, " ".join(items[0].split()[:7])), (8, prose(4, 50_000) + " " + items[0] + " " + prose(5, 10)), (2, clean), (9, "İstanbul " + items[0] + " x" * 90), (10, items[0] + " " + items[0] + " " + prose(6, 300))]
     df = docs_of(spark, rows)
-    for held in (10**6, 9):  # in one pass, and in several
+    for held in (10**6, 60):  # in one pass, and in several
         hits = {(r.doc_id): (r.n_hit, r.n_tokens, r.drop_document) for r in decontaminate.contaminated(df, bench, held=held).collect()}
         want = {i: (*c, c[0] >= 0.5 * c[1]) for i, t in rows if t and (c := cut_by_hand(t, items, decontaminate.N, 0.5))[0]}
         want[9] = hits[9] if hits[9][0] == 30 else None
@@ -408,6 +415,39 @@ def test_op5_on_table(spark, small):
 # ---- 6
 
 
+def test_language_sample_is_bounded_and_the_first_by_hash(spark):
+    rows = [(k % 7 if k % 3 else None, f"text number {k} " * 3, "en" if k % 2 else "de") for k in range(3000)] + [(5, "same text", "fr")] * 2000 + [(6, "other text", "fr"), (None, "", "en"), (1, None, "de"), (2, "x", None)]
+    got = langid.dictionaries(docs_of(spark, rows), docs=20)
+    first = lambda lang: sorted({(hashlib.md5((t if i is None else str(i)).encode()).hexdigest(), t) for i, t, n in rows if n == lang and t})
+    assert sorted(got) == ["de", "en", "fr"] and got["fr"].decode().split("\n") in (["same text", "other text"], ["other text", "same text"])
+    for lang in ("de", "en"):
+        parts = got[lang].decode().split("\n")
+        cut = first(lang)[19][0]
+        assert len(parts) == 20 and all(hashlib.md5(t.encode()).hexdigest() <= cut or any(hashlib.md5(str(i).encode()).hexdigest() <= cut for i in range(7)) for t in parts)
+
+
+def test_op6_query_against_plain_sizes(spark, small):
+    docs = common.table(spark, small, "documents").collect()
+    dicts_ = langid.dictionaries(common.table(spark, small, "documents"))
+    import zstandard as z
+
+    params = z.ZstdCompressionParameters(window_log=18, chain_log=17, hash_log=17, search_log=8, min_match=4, target_length=32, strategy=z.STRATEGY_GREEDY, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False)
+
+    def size(name, text):
+        raw, total = text.lower().encode(), 0
+        c = z.ZstdCompressor(dict_data=z.ZstdCompressionDict(dicts_[name], dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=params)
+        while raw:
+            total, raw = total + len(c.compress(raw[: langid.PIECE] + b" " * 256)), raw[langid.PIECE :]
+        return total
+
+    got = {r.doc_id: r for r in queries.QUERIES["op6_language_id"](spark, small).collect()}
+    assert set(got) == {r.doc_id for r in docs}
+    for r in docs[::7]:
+        best = sorted((size(n, r.text), n) for n in dicts_)
+        assert got[r.doc_id].language == best[0][1]
+        assert got[r.doc_id].language_accepted == ((best[1][0] - best[0][0]) / best[0][0] > langid.MARGIN)
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = docs.where("doc_id % 2 = 1").where("n_chars > 40").where(~F.col("text").rlike(r"(\S+ )\1\1\1|!! "))
@@ -469,15 +509,22 @@ def test_token_codes(spark):
     assert token_binary.token_codes(docs_of(spark, rows).where("false")).count() == 0
 
 
+def test_op7_query_round_trip(spark, small):
+    enc = common.Encoder()
+    got = {r.doc_id: r for r in queries.QUERIES["op7_token_binary"](spark, small).collect()}
+    docs = common.table(spark, small, "documents").collect()
+    assert len(got) == len(docs)
+    for r in docs:
+        assert token_binary.decoded(got[r.doc_id].levels).tolist() == enc.ids(r.text) and got[r.doc_id].n_tokens == len(enc.ids(r.text))
+
+
 # ---- 8
 
 
 def form(text):
     t = re.sub(licenses.COPYRIGHT, "", text.lower())
-    t = f" {re.sub('[^a-z0-9]+', ' ', t).strip()} "
-    for said, meant in licenses.SPELLINGS:
-        t = t.replace(f" {said.replace('-', ' ')} ", f" {meant} " if meant else " ")
-    return t.strip()
+    meant = {said: m.split() for said, m in licenses.SPELLINGS}
+    return " ".join(w for x in regex.findall(r"[\p{L}\p{N}\p{M}]+", t) for w in meant.get(x, [x]))
 
 
 def test_licenses(spark):
@@ -495,6 +542,32 @@ def test_licenses(spark):
     assert licenses.licensed(docs_of(spark, rows).where("false"), licenses.digests(spark)).count() == 0
 
 
+def test_licence_forms_keep_letters_and_neighbours(spark):
+    rows = [(1, "Этот код не Released under the MIT License"), (2, "released, under THE the licences"), (3, "Licence licence LICENCE v2 the the v3")]
+    got = {r.doc_id: r.f for r in docs_of(spark, rows).select("doc_id", licenses.whole(licenses.canonical_lines(F.col("text"))).alias("f")).collect()}
+    assert got == {1: "этот код не released under mit license", 2: "released under licenses", 3: "license license license version 2 version 3"}
+    assert licenses.licensed(docs_of(spark, rows), licenses.digests(spark)).count() == 0
+
+
+def test_whole_long_licence_is_found(spark):
+    at = Path("/usr/share/common-licenses/GPL-3")
+    if not at.exists():
+        pytest.skip("no licence texts here")
+    text = at.read_text(encoding="utf-8")
+    docs = docs_of(spark, [(1, text), (2, text.upper().replace("\n", " \n\n")), (3, text + " more")])
+    got = licenses.licensed(docs, licenses.digests(spark)).where("unit = 'text'").collect()
+    assert sorted((r.doc_id, r.line, r.license) for r in got) == [(1, 0, "GPL-3.0"), (2, 0, "GPL-3.0")]
+
+
+def test_op8_query_against_plain_loop(spark, small):
+    known = [(form(t), name) for name, t in licenses.KNOWN]
+    want = []
+    for r in common.table(spark, small, "documents").collect():
+        for k, x in enumerate([r.text, *r.text.split("\n")]):
+            want += [(r.doc_id, "line" if k else "text", k, name) for name in {n for f, n in known if f == form(x)} if form(x)]
+    assert sorted(map(tuple, queries.QUERIES["op8_license_scan"](spark, small).collect())) == sorted(want)
+
+
 # ---- 9
 
 
@@ -527,6 +600,21 @@ def test_packed_texts(spark):
     assert {r.doc_id: r.n for r in got} == {i: enc.length(t) for i, t in rows if t}
 
 
+def test_op9_query_against_plain_loop(spark, small):
+    enc = common.Encoder()
+    rows = queries.QUERIES["op9_harmonic_packing"](spark, small).collect()
+    c, k = packing.CAPACITY, packing.CLASSES
+    want = sorted((r.doc_id, at // c, at, min(c, n - at)) for r in common.table(spark, small, "documents").collect() for n in [enc.length(r.text)] for at in range(0, n, c))
+    assert sorted((r.doc_id, r.piece, r.start, r.length) for r in rows) == want
+    bins = defaultdict(list)
+    for r in rows:
+        assert r["class"] == min(c // r.length, k) and 0 <= r.slot < r["class"]
+        bins[r["class"], r.shard, r.bin].append(r)
+    assert all(sum(x.length for x in b) <= c and len({x.slot for x in b}) == len(b) <= key[0] for key, b in bins.items())
+    for key in {k_[:2] for k_ in bins}:  # all bins of a class and shard but the last are full
+        assert all(len(bins[*key, n]) == key[0] for n in range(max(x[2] for x in bins if x[:2] == key)))
+
+
 # ---- 10
 
 
@@ -562,6 +650,40 @@ def test_url_filters(spark):
     assert url_filters.filtered(df.where("false"), rules).count() == 0
 
 
+def test_url_components_against_union_find(spark):
+    for seed in range(2):
+        r = random.Random(seed)
+        urls = [f"https://h{r.randrange(12)}.org/p{k}" for k in range(160)]
+        link = lambda k: r.choice(["", f'<link rel="canonical" href="{urls[k]}">', f'<meta http-equiv="refresh" content="0;url={urls[k]}">'])  # noqa: B023,E731
+        pages = [(k, urls[k], link(r.randrange(160))) for k in range(160)]
+        moved = [(r.choice(urls), r.choice(urls)) for _ in range(20)]
+        rules = [("block", f"h{r.randrange(12)}.org/p{r.randrange(160)}") for _ in range(60)] + [("block", "h3.org"), ("allow", "h3.org/p9")]
+        bare = lambda u: u.split("//")[1]
+        p = {bare(u): bare(u) for u in urls}
+        find = lambda x: x if p[x] == x else find(p[x])  # noqa: B023,E731
+        for k, u, html in pages:
+            to = re.search(r'(?:href="|url=)([^"]+)', html)
+            for a, b in [(u, to.group(1))] if to else []:
+                a, b = find(bare(a)), find(bare(b))
+                p[max(a, b)] = min(a, b)
+        for a, b in moved:
+            a, b = find(bare(a)), find(bare(b))
+            p[max(a, b)] = min(a, b)
+        named = lambda u, d: any(x == d and (bare(u) == y or bare(u).startswith(y + "/")) for x, y in rules)  # noqa: B023,E731
+        bad = {find(bare(u)) for u in urls if named(u, "block")}
+        want = {k: (find(bare(u)), *(("allow", "rule") if named(u, "allow") else ("block", "rule") if named(u, "block") else ("block", "alias") if find(bare(u)) in bad else ("none", None))) for k, u, _ in pages}
+        df = spark.createDataFrame(pages, "page_id long, url string, html string")
+        got = url_filters.filtered(df, spark.createDataFrame(rules, "decision string, rule string"), spark.createDataFrame(moved, "src string, dst string"))
+        assert {x.page_id: (x.component, x.decision, x.by) for x in got.collect()} == want
+        assert any(w[2] == "alias" for w in want.values())
+
+
+def test_url_filters_long_page(spark):
+    df = spark.createDataFrame([(1, "https://a.org/x", "<p>" + "word " * 200_000 + '<link rel="canonical" href="/y">'), (2, "https://a.org/y", "")], "page_id long, url string, html string")
+    got = url_filters.filtered(df, spark.createDataFrame([("block", "a.org/y")], "decision string, rule string"))
+    assert {r.page_id: r.by for r in got.collect()} == {1: "alias", 2: "rule"}
+
+
 # ---- SQL, pipeline
 
 
