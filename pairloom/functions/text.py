@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 _FROM = "‐‑‒–—‘’“”   ​"
 _TO = "-----''\"\"   "
+#: The same for Python: characters without a counterpart go.
+TYPOGRAPHIC = {ord(c): _TO[i] if i < len(_TO) else None for i, c in enumerate(_FROM)}
 
 
 @F.pandas_udf(T.StringType())
@@ -93,9 +95,31 @@ SENTENCE = r"[^.!?]+[.!?]*\s*|[.!?]+\s*"
 def sentences(text: Column) -> Column:
     """array<struct<piece, begin, end>>: a lossless cut after final marks; offsets count characters from 0."""
     pieces = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
-    start = F.expr("cast(array() as array<struct<piece:string,begin:int,end:int>>)")
-    at = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0))
-    return F.aggregate(pieces, start, lambda acc, p: F.concat(acc, F.array(F.struct(p.alias("piece"), at(acc).alias("begin"), (at(acc) + F.length(p)).alias("end")))))
+    return F.when(text.isNotNull(), bound(pieces, _offsets))
+
+
+#: Pieces whose offsets are summed up in one list; a sum over lists costs the square of their length.
+_RUN = 64
+
+
+def _offsets(pieces: Column) -> Column:
+    """Pieces with their offsets: within runs of pieces, then over runs, so that a long text isn't a square of its sentences."""
+    none = F.expr("cast(array() as array<struct<piece:string,begin:int,end:int>>)")
+    ends = F.expr("cast(array() as array<int>)")
+    last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))
+    sums = lambda lengths: F.aggregate(lengths, ends, lambda acc, n: F.concat(acc, F.array(last(acc) + n)))
+
+    def run(start: Column, p: Column) -> Column:
+        lengths = F.transform(F.slice(p, start, _RUN), lambda x: F.length(x))
+        return F.struct(start.alias("start"), sums(lengths).alias("ends"))
+
+    def joined(runs: Column, p: Column) -> Column:
+        total = sums(F.transform(runs, lambda r: last(r["ends"])))
+        return bound(total, lambda t: F.flatten(F.transform(runs, lambda r, k: F.transform(F.slice(p, r["start"], _RUN), lambda x, i: piece(x, r["ends"][i] + F.when(k > 0, t[F.greatest(k - 1, F.lit(0))]).otherwise(0))))))
+
+    piece = lambda x, end: F.struct(x.alias("piece"), (end - F.length(x)).alias("begin"), end.alias("end"))
+    starts = lambda p: F.sequence(F.lit(1), F.size(p), F.lit(_RUN))
+    return F.when(F.size(pieces) > 0, bound(F.transform(starts(pieces), lambda a: run(a, pieces)), lambda runs: joined(runs, pieces))).otherwise(none)
 
 
 def any_of(*alternatives: str, flags: str = "(?i)") -> str:

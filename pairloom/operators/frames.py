@@ -22,6 +22,12 @@ def frame_report(rows: DataFrame) -> DataFrame:
     return c.groupBy("frame").agg(F.count("*").alias("n"), F.avg(F.col("must").cast("double")).alias("has_marker"), F.avg(F.col("mustnot").cast("double")).alias("breaks_avoid"))
 
 
+def error_count(raw: DataFrame) -> DataFrame:
+    """(n, errors): attempts of a raw log, and those with an error or without a sample."""
+    said = F.coalesce(F.col("error"), F.lit("")) != ""
+    return raw.agg(F.count("*").alias("n"), F.count_if(said | F.coalesce("sample", F.lit("")).isin("", "{}", "null")).alias("errors"))
+
+
 def breaches(report: DataFrame, limit: float = 0.15) -> DataFrame:
     return report.where(F.col("breaks_avoid").isNotNull() & (F.col("breaks_avoid") > limit))
 

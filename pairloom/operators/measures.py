@@ -92,6 +92,36 @@ def pattern_profile(texts: DataFrame, patterns: dict[str, str], column: str = "t
     return texts.groupBy(*(by or [])).agg(F.count("*").alias("n"), *(F.avg(F.col(column).rlike(p).cast("double")).alias(k) for k, p in patterns.items()))
 
 
+_ENZYME = r"\bCYP\s?[0-9][A-Z][0-9]*\b"
+#: What texts about mechanisms speak of.
+MECHANISM = {
+    "absorption": r"(?i)\babsorpt\w*",
+    "bioavailability": r"(?i)\bbioavailab\w*",
+    "clearance": r"(?i)\bclearance\b",
+    "enzyme": r"(?i)\benzyme\w*",
+    "exposure": r"(?i)\b(?:AUC|C ?max|half-?life|t1/2)\b",
+    "fold_change": r"(?i)\d+\s?-?\s?fold",
+    "induction": r"(?i)\binduc\w*",
+    "inhibition": r"(?i)\binhibit\w*",
+    "metabolism": r"(?i)\bmetaboli\w*",
+    "named_enzyme": f"(?i){_ENZYME}",
+    "percentage": r"\d+\s?%",
+    "plasma": r"(?i)\bplasma (?:concentration|level)",
+    "protein_binding": r"(?i)\bprotein[- ]bind\w*",
+    "renal": r"(?i)\b(?:renal|excret\w*|urinary)",
+    "serum": r"(?i)\bserum (?:concentration|level)",
+    "steady_state": r"(?i)\bsteady[- ]state\b",
+    "substrate": r"(?i)\bsubstrate\b",
+    "transporter": r"(?i)\b(?:P-?gp|P-?glycoprotein|transporter)",
+}
+
+
+def enzyme_counts(texts: DataFrame, column: str = "text", k: int = 20) -> DataFrame:
+    """(value, n): the k enzymes named most often, in capitals and without spaces."""
+    each = texts.select(F.explode(F.regexp_extract_all(F.upper(F.col(column)), F.lit(_ENZYME), F.lit(0))).alias("e"))
+    return top_values(each, F.replace("e", F.lit(" "), F.lit("")), k)
+
+
 def joint_rate(inst: DataFrame, order: str = "pair_no") -> DataFrame:
     """Share of sentences without a positive whose first text reports a joint outcome."""
     s = inst.groupBy("sent_id").agg(F.count_if(F.col("label") != NONE).alias("pos"), stripped(F.min_by("text", order)).alias("plain")).where("pos = 0")

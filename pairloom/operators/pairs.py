@@ -83,8 +83,11 @@ def mention_pairs(mentions: DataFrame, keys: tuple[str, ...] = ("doc_id", "s"),
     return one(1).join(one(2), list(keys)).where("ord1 < ord2")
 
 
-def labelled_pairs(pairs: DataFrame, relations: DataFrame, directed: bool = True) -> DataFrame:
-    """pairs with the label of (name1, name2), else of (name2, name1), else NONE; of repeated relations the last by ``no``."""
+def labelled_pairs(pairs: DataFrame, relations: DataFrame, directed: bool = True, one_way: bool = False) -> DataFrame:
+    """pairs with the label of (name1, name2), else of (name2, name1) unless ``one_way``, else NONE; of repeated relations the last by ``no``."""
+    if one_way:
+        r = relations.groupBy("name1", "name2").agg(F.max_by("label", "no").alias("label"))
+        return pairs.join(r, ["name1", "name2"], "left").withColumn("label", F.coalesce("label", F.lit(NONE)))
     if directed:
         r = relations.groupBy("name1", "name2").agg(F.max_by("label", "no").alias("label"))
         back = r.select(F.col("name1").alias("name2"), F.col("name2").alias("name1"), F.col("label").alias("back"))
@@ -94,6 +97,22 @@ def labelled_pairs(pairs: DataFrame, relations: DataFrame, directed: bool = True
     return key(pairs).join(r, ["lo", "hi"], "left").withColumn("label", F.coalesce("label", F.lit(NONE))).drop("lo", "hi")
 
 
+def self_binds(relations: DataFrame) -> DataFrame:
+    """(n): relations of a name with itself, which bind no pair."""
+    return relations.where("name1 = name2").agg(F.count("*").alias("n"))
+
+
+def restricted(docs: DataFrame, keys: DataFrame, *by: str) -> DataFrame:
+    """Documents whose key is among the keys; a null key is among none."""
+    return docs.join(keys.select(*by), list(by), "left_semi")
+
+
+def multi_entity(sents: DataFrame, least: int = 2, require_positive: bool = False) -> DataFrame:
+    """Sentences with at least so many entities and, where asked for, a relation."""
+    out = sents.where(F.size("entities") >= least)
+    return out.where(F.size("relations") > 0) if require_positive else out
+
+
 def ordered_pairs(mentions: DataFrame, keys: tuple[str, ...] = ("doc_id", "s")) -> DataFrame:
     """Every ordered pair of different mentions of a sentence."""
     one = lambda k: mentions.select(*keys, *(F.col(c).alias(f"{c}{k}") for c in ("name", "begin", "ord")))
@@ -132,6 +151,11 @@ def masked_twins(inst: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return ok.drop("__m"), ok.withColumn("text", F.col("__m")).drop("__m"), m.where("__m IS NULL").drop("__m")
 
 
+def listing(values: Column) -> Column:
+    """A numbered line for each value, from 0."""
+    return F.array_join(F.transform(values, lambda x, i: F.concat(i.cast("string"), F.lit(". "), x)), "\n")
+
+
 def batches(rows: DataFrame, value: Column, size: int, *order: str) -> DataFrame:
     """(batch, values): values in order, so many a batch."""
     n = F.row_number().over(Window.orderBy(*order)) - 1

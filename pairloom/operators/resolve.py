@@ -7,6 +7,8 @@ which Spark's own functions can't say, so one Arrow function does it for whole b
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,25 +34,18 @@ def occurrences(text: str, names: list[str], strict: bool = False) -> list[tuple
     (not with ``strict``), so mixed spellings can give one place twice, which overlaps.
     """
 
-    def nth(hay: str, needle: str, k: int) -> int:
-        at = -1
-        for _ in range(k + 1):
+    def every(hay: str, needle: str) -> list[int]:
+        at, out = hay.find(needle), []
+        while at >= 0:
+            out.append(at)
             at = hay.find(needle, at + 1)
-            if at < 0:
-                return -1
-        return at
+        return out
 
     low, found = text.lower(), []
     for name in dict.fromkeys(names):
-        k = 0
-        while True:
-            at = nth(text, name, k)
-            if at < 0 and not strict:
-                at = nth(low, name.lower(), k)
-            if at < 0:
-                break
-            found.append((at, at + len(name), name.lower()))
-            k += 1
+        exact = every(text, name)
+        places = exact if strict else exact + every(low, name.lower())[len(exact) :]
+        found += [(at, at + len(name), name.lower()) for at in places]
     found.sort(key=lambda f: f[0])
     if any(b[0] < a[1] for a, b in zip(found, found[1:], strict=False)):
         raise _Bad("overlapping entity spans")
@@ -71,6 +66,12 @@ def _instances(text: str, found: list, relations: list[tuple[str, str, str]]) ->
     return [(_render(text, a, b), label.get(frozenset((a[2], b[2])), NONE)) for a, b in combinations(first.values(), 2)]
 
 
+def _clean(text: str | None) -> str:
+    """What ``functions.text.normalised`` does, for texts inside lists, which its Python step can't reach."""
+    t = (text or "").translate(X.TYPOGRAPHIC).replace("**", "").replace("__", "")
+    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t), flags=re.ASCII).strip(" ")
+
+
 def _long(text: str) -> int:
     return len(text.split())
 
@@ -117,7 +118,7 @@ def _passage(r) -> list[tuple[str, str, str]]:
     if r.sentences is None or not len(r.sentences):
         raise _Bad("no sentences")
     names = []
-    for e in r.names if r.names is not None else ():
+    for e in map(_clean, r.names if r.names is not None else ()):
         if not e:
             raise _Bad("empty entity text")
         if _long(e) > MAX_NAME:
@@ -126,20 +127,21 @@ def _passage(r) -> list[tuple[str, str, str]]:
     if len(names) < 2:
         raise _Bad(f"need two entities, got {len(names)}")
     known = {n.lower() for n in names}
-    whole = " ".join(s["text"] or "" for s in r.sentences)
+    texts = [_clean(s["text"]) for s in r.sentences]
+    whole = " ".join(texts)
     if _long(whole) > MAX_PASSAGE:
         raise _Bad(f"passage too long ({_long(whole)} words)")
     if _looping(whole):
         raise _Bad("degenerate repetition in passage")
     out = []
     for i, s in enumerate(r.sentences):
-        text = s["text"] or ""
+        text = texts[i]
         if not text:
             continue
         found = occurrences(text, names)
         there, rels = {f[2] for f in found}, []
         for rel in s["relations"] if s["relations"] is not None else ():
-            a, b = ((rel[k] or "").lower() for k in ("arg1", "arg2"))
+            a, b = (_clean(rel[k]).lower() for k in ("arg1", "arg2"))
             if a not in known or b not in known:
                 continue
             if a == b:
@@ -183,9 +185,8 @@ def parsed_passages(raw: DataFrame, gen_id: str) -> DataFrame:
     sample = F.from_json("sample", SAMPLE_PASSAGE)
     p = raw.select("spec_index", F.from_json("spec", SPEC).alias("spec"), sample.alias("s"), (F.col("sample").isNotNull() & F.col("sample").startswith("{")).alias("has_sample"))
     sid = F.concat(F.lit(f"synth:{gen_id}:"), F.col("spec_index").cast("string"))
-    clean = lambda c: X.normalised(F.coalesce(c, F.lit("")), unicode=False)
-    sents = F.transform("s.sentences", lambda x: F.struct(clean(x["text"]).alias("text"), F.transform(x["relations"], lambda r: F.struct(clean(r["arg1"]).alias("arg1"), clean(r["arg2"]).alias("arg2"), r["label"].alias("label"))).alias("relations")))
-    return p.select("spec_index", sid.alias("sent_id"), F.coalesce("spec.register", F.lit("synthetic")).alias("register"), "has_sample", F.transform("s.entities", lambda e: clean(e["text"])).alias("names"), sents.alias("sentences"))
+    sents = F.transform("s.sentences", lambda x: F.struct(x["text"].alias("text"), F.transform(x["relations"], lambda r: F.struct(r["arg1"].alias("arg1"), r["arg2"].alias("arg2"), r["label"].alias("label"))).alias("relations")))
+    return p.select("spec_index", sid.alias("sent_id"), F.coalesce("spec.register", F.lit("synthetic")).alias("register"), "has_sample", F.transform("s.entities", lambda e: e["text"]).alias("names"), sents.alias("sentences"))
 
 
 def successes(raw: DataFrame) -> DataFrame:
@@ -201,6 +202,32 @@ def resolved(raw: DataFrame, gen_id: str, form: str = "sentence") -> tuple[DataF
     return inst, rows.where("reason IS NOT NULL").select("spec_index", "sent_id", "reason")
 
 
+def build(raw: DataFrame, gen_id: str, root: str, form: str = "sentence", mode: str = "markers", **more) -> tuple[str, DataFrame]:
+    """A dataset from a raw log in one call: (its id, one row of ``built``, ``rejected``, ``attempts`` and ``errors``).
+
+    The log is resolved once into a scratch table; instances are rendered in the mode and
+    written with their manifest, rejects beside them.  Pairs that the mode can't render
+    are rejects too.
+    """
+    from ..sources import store
+    from .pairs import masked_twins
+
+    spark = raw.sparkSession
+    at = store.scratch(spark)
+    inst, rejects = resolved(raw, gen_id, form)
+    both = inst.select(F.struct("*").alias("i"), F.lit(None).cast("struct<spec_index:bigint,sent_id:string,reason:string>").alias("r")).unionByName(rejects.select(F.struct("*").alias("r")), allowMissingColumns=True)
+    rows = store.written(both, at)
+    inst, rejects = rows.where("i IS NOT NULL").select("i.*"), rows.where("r IS NOT NULL").select("r.*")
+    if mode != "markers":
+        _, masked, dropped = masked_twins(inst)
+        inst, rejects = masked, rejects.unionByName(dropped.select(F.lit(None).cast("long").alias("spec_index"), "sent_id", F.lit("overlapping spans").alias("reason")))
+    dataset_id = store.write_dataset(inst, root, "generated", generator=gen_id, render_mode=mode, **more)
+    store.write_rejects(rejects, f"{root}/rejects/{dataset_id}")
+    log = raw.agg(F.count("*").alias("attempts"), F.count_if("error <> ''").alias("errors"))
+    n = inst.agg(F.count("*").alias("built")).crossJoin(rejects.agg(F.count("*").alias("rejected"))).crossJoin(log)
+    return dataset_id, n
+
+
 def reason_counts(rejects: DataFrame) -> DataFrame:
     """Reasons up to their first colon and ' not found', 60 characters at most."""
     r = F.left(F.substring_index(F.substring_index("reason", ":", 1), " not found", 1), F.lit(60))

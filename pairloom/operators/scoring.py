@@ -53,6 +53,11 @@ def bucket_scores(pred: DataFrame, size: str = "n_entities") -> DataFrame:
     return c.withColumn("precision", share(k, p)).withColumn("recall", share(k, s)).withColumn("f1", f1(k, p - k, s - k))
 
 
+def missing_keys(pred: DataFrame, size: str = "n_entities") -> DataFrame:
+    """(n, missing): predictions, and those whose sentence has no entity count."""
+    return pred.agg(F.count("*").alias("n"), F.count_if(F.col(size).isNull()).alias("missing"))
+
+
 def false_positive_rates(buckets: DataFrame) -> DataFrame:
     """(bucket, fp, negatives, fpr, fp_share) of bucket scores."""
     fp, neg = F.col("predicted") - F.col("correct"), F.col("n") - F.col("support")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,19 +66,20 @@ def specs(spark: SparkSession, n: int, vocab: DataFrame, seed: int = 0, p_group:
     """Whole requests: names that don't contain each other, roles of spare names, axes, and the label of every pair.
 
     Each request draws ``tries`` candidate names by hash and keeps the first k usable ones
-    of which none contains another; one that ends with fewer is left with ``complete`` false.
-    The first k requests of n are the k requests of the same seed.
+    of which none contains another; one that ends with fewer is left with ``complete`` false
+    and is a row of ``exhausted``.  The first k requests of n are the k requests of the same seed.
     """
     heads = spec_heads(spark, n, seed, weights, start)
     sizes = {r.kind: r.n for r in vocab.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     drugs, groups = sizes.get("drug", 0), sizes.get("group", 0)
-    # a few candidates go far: names rarely collide, so draws come in rounds of 16 for requests that are still short
+    # a few candidates go far, as names rarely collide; only requests that are short after 16 draw the rest
     done = None
     short = heads.withColumn("got", F.expr("cast(array() as array<struct<name:string,kind:string>>)"))
-    size, rounds = 16, -(-tries // 16)
-    for r in range(min(rounds, 2)):
-        t = F.explode(F.sequence(F.lit(r * size), F.lit((r + 1) * size - 1))).alias("t")
-        slot = short.select("spec_index", t)
+    for first, end in ((0, min(16, tries)), (16, tries)):
+        if first >= end:
+            continue
+        t = F.explode(F.sequence(F.lit(first), F.lit(end - 1))).alias("t")
+        slot = short.where(F.size("got") < F.col("k")).select("spec_index", t)
         kind = F.when((_u(seed, "kind", F.col("t")) < p_group) & F.lit(groups > 0), "group").otherwise("drug")
         pos = F.floor(_u(seed, "name", F.col("t")) * F.when(F.col("kind") == "group", groups).otherwise(drugs)).cast("int")
         cand = slot.withColumn("kind", kind).withColumn("pos", pos).join(vocab, ["kind", "pos"]).where(~unusable(F.col("name")))
@@ -105,6 +108,17 @@ def specs(spark: SparkSession, n: int, vocab: DataFrame, seed: int = 0, p_group:
     return s.select("spec_index", "frame", "kind", "register", "entities", out.alias("positives"), roles.alias("roles"), "has_scene", axes.alias("axes"), matrix.alias("matrix"), "complete")
 
 
+def exhausted(rows: DataFrame) -> DataFrame:
+    """(spec_index, reason) of requests for which the draws found too few names."""
+    return rows.where(~F.col("complete")).select("spec_index", F.lit("too few names that don't contain each other").alias("reason"))
+
+
+def fingerprint(pools: dict[str, list[str]], head: str = "") -> str:
+    """Twelve digits over what requests are written from: a head and the pools by name, each sorted."""
+    parts = [head, *(x for name in sorted(pools) for x in (name, *sorted(pools[name])))]
+    return hashlib.sha256("|".join(parts).encode()).hexdigest()[:12]
+
+
 def prompts(rows: DataFrame, register_line: Column, says: Column | None = None) -> DataFrame:
     """(spec_index, prompt): blocks of rows of nouns; ``{A}`` stands for the name with key A.  says: array<struct<k, v>>."""
     names = F.map_from_entries(F.transform("entities", lambda e: F.struct(e["key"], e["surface"])))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import marked_spans, numbered, stripped
+from ..functions.stats import index_quantiles
+from ..functions.text import n_words
 from ..schema import NONE, VERDICTS
+from ..sources.store import scratch, written
 from .sampling import take
 
 
@@ -14,15 +17,20 @@ def keyed(inst: DataFrame) -> DataFrame:
     """inst with spans, m1 and m2: numbers from 1 of its two spans among all different spans of its sentence.
 
     m1 and m2 are null where the tags don't mark exactly two spans.  Numbers depend on
-    which rows of the sentence are there.
+    which rows of the sentence are there.  A sentence's spans are grouped once, each
+    different one once; rows meet the list only to find their numbers.
     """
     with_spans = inst.withColumn("spans", marked_spans(F.col("text")))
-    each = F.array_distinct(F.flatten(F.collect_list("spans").over(Window.partitionBy("sent_id"))))
-    all_spans = F.array_sort(F.filter(each, lambda s: s.isNotNull()))
-    k = with_spans.withColumn("all_spans", all_spans)
+    k = with_spans.join(sentence_spans(with_spans), F.col("sent_id").eqNullSafe(F.col("__sent")), "left")
     two = F.size("spans") == 2
     at = lambda i: F.when(two, F.array_position("all_spans", F.try_element_at("spans", F.lit(i))).cast("int"))
-    return k.withColumn("m1", at(1)).withColumn("m2", at(2))
+    return k.withColumn("m1", at(1)).withColumn("m2", at(2)).drop("__sent", "all_spans")
+
+
+def sentence_spans(with_spans: DataFrame) -> DataFrame:
+    """(__sent, all_spans): the different spans of each sentence in order."""
+    each = with_spans.select(F.col("sent_id").alias("__sent"), F.explode("spans").alias("x")).where("x IS NOT NULL").distinct()
+    return each.groupBy("__sent").agg(F.array_sort(F.collect_list("x")).alias("all_spans"))
 
 
 def verify_batches(inst: DataFrame, max_pairs: int | None = None) -> DataFrame:
@@ -30,7 +38,9 @@ def verify_batches(inst: DataFrame, max_pairs: int | None = None) -> DataFrame:
     k = keyed(inst).withColumn("plain", stripped(F.col("text")))
     name = lambda i: F.substring("plain", F.col("spans")[i]["begin"] + 1, F.col("spans")[i]["end"] - F.col("spans")[i]["begin"])
     ok = k.where("m1 > 0 AND m2 > 0").withColumn("p", F.struct("pair_no", F.array("m1", "m2").alias("pair"), F.array(name(0), name(1)).alias("name"), F.col("label").alias("gold")))
-    b = ok.groupBy("sent_id").agg(F.array_sort(F.collect_list("p")).alias("p"), F.min("plain").alias("plain"), F.first("all_spans").alias("s"))
+    b = ok.groupBy("sent_id").agg(F.array_sort(F.collect_list("p")).alias("p"), F.min("plain").alias("plain"))
+    spans = sentence_spans(inst.select("sent_id", marked_spans(F.col("text")).alias("spans")))
+    b = b.join(spans, F.col("sent_id").eqNullSafe(F.col("__sent"))).withColumnRenamed("all_spans", "s")
     if max_pairs is not None:
         b = b.where(F.size("p") <= max_pairs)
     field = lambda n: F.transform("p", lambda x: x[n]).alias(n)
@@ -80,18 +90,37 @@ def flag_summary(marked: DataFrame) -> DataFrame:
 def pruning_arms(marked: DataFrame, seed: int, *key: str, fraction: float = 1.0) -> DataFrame:
     """Rows by arm: judged, judged-pruned (without flagged), judged-randprune (without as many negatives by chance).
 
-    With a fraction only that share of the flagged, in hash order, is dropped.
+    With a fraction only that share of the flagged, in hash order, is dropped.  The judged
+    rows are written to the shared folder once; every arm reads them from there.
     """
-    judged = marked.where("judged")
+    judged = written(marked.where("judged"), scratch(marked.sparkSession))
     flagged = judged.where("flagged")
     n = int(flagged.count() * fraction)
-    dropped = flagged if fraction >= 1 else take(flagged, n, seed, *key)
+    if fraction >= 1:
+        dropped = flagged
+    else:
+        dropped = take(flagged, n, seed, *key)
     at_random = take(judged.where(F.col("label") == NONE), n, seed, *key)
     arm = lambda rows, name: rows.withColumn("arm", F.lit(name))
     without = lambda gone: judged.join(gone.select(*key), list(key), "left_anti")
     return arm(judged, "judged").unionByName(arm(without(dropped), "judged-pruned")).unionByName(arm(without(at_random), "judged-randprune"))
 
 
+def siblings(marked: DataFrame, order: str = "pair_no") -> DataFrame:
+    """(sent_id, no, label, flagged, flagged_no): each flagged row with every judged row of its sentence, itself too."""
+    j = marked.where("judged")
+    own = j.where("flagged").select("sent_id", F.col(order).alias("flagged_no"))
+    return own.join(j.select("sent_id", F.col(order).alias("no"), "label", "flagged"), "sent_id")
+
+
+def described(inst: DataFrame) -> DataFrame:
+    """(n, sentences, median_length, per_sentence) of a set of marked rows; the median is the word count in the middle of the sorted ones."""
+    w = inst.select("sent_id", n_words(stripped(F.col("text"))).alias("words"))
+    mid = index_quantiles(w, "words", {"median_length": 0.5})
+    n = w.agg(F.count("*").alias("n"), (F.count_distinct("sent_id") + F.max(F.col("sent_id").isNull().cast("int"))).alias("sentences"))
+    return n.crossJoin(mid).select("n", "sentences", "median_length", (F.col("n") / F.greatest("sentences", F.lit(1))).alias("per_sentence"))
+
+
 def flag_concentration(marked: DataFrame) -> DataFrame:
     """Among sentences with a flagged row: their number, the median share of their negatives that is flagged, and how many are flagged whole."""
     s = marked.where("judged").groupBy("sent_id").agg(F.count_if("flagged").alias("f"), F.count_if(F.col("label") == NONE).alias("none")).where("f > 0")

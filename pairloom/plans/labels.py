@@ -110,6 +110,7 @@ def verdict_pairs(pred: DataFrame) -> DataFrame:
 
 QUERIES = {
     "measures_by_source": measures_by_source,
+    "score_missing_keys": lambda s, d: A.missing_keys(predictions(s, d).withColumn("n_entities", F.when(F.col("n_entities") > 2, F.col("n_entities")))),
     "measures_all": lambda s, d: M.label_measures(orders(s, d)),
     "label_histogram": lambda s, d: M.label_histogram(orders(s, d)),
     "label_crosstab": lambda s, d: M.crosstab(orders(s, d)),
@@ -151,6 +152,7 @@ _BUCKETS = f"b AS (SELECT source, {_BUCKET} AS bucket, label, predicted FROM pre
 _SPLIT = f"{sql_digit(chr(39) + '4:' + chr(39) + ' || CAST(doc_id AS VARCHAR)')} / 4294967296.0::DOUBLE"
 
 ORACLES = {
+    "score_missing_keys": f"WITH {PREDICTIONS} SELECT count(*) AS n, count(*) FILTER (n_entities <= 2) AS missing FROM pred",
     "measures_by_source": _measures_sql("source"),
     "measures_all": _measures_sql(""),
     "label_histogram": f"WITH {ORDERS} SELECT label, count(*) AS n FROM inst GROUP BY label",

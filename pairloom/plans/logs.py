@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..operators import lexicon as L
 from ..operators import resolve as G
 from ..operators import specs as S
-from ..operators.pairs import batches
+from ..operators.frames import error_count
+from ..operators.pairs import batches, listing
 from ..operators.probe import probe
+from ..sources.store import load_dataset, manifests, read_rejects, scratch, write_dataset, write_rejects
 from ..streaming import ingest as I
-from .views import digit, documents, sql_digit, table
+from .views import DOCUMENTS, digit, documents, sql_digit, table
 
 
 def raw(s: SparkSession, d: str) -> DataFrame:
@@ -30,16 +32,7 @@ RAW = "raw AS (SELECT user_id AS spec_index, CASE WHEN event_id % 5 <> 0 THEN pr
 
 def streamed(s: SparkSession, d: str) -> DataFrame:
     """The events followed as a stream of files into successes, once each."""
-    from pairloom.sources.store import new_id
-
-    root = s.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not s.sparkContext.master.startswith("local[") and s.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        root = tempfile.gettempdir()
-    at = f"{root}/stream-{new_id()}"
+    at = scratch(s)
     schema = table(s, d, "events").schema
     I.stream_successes(s, f"{d}/events*.parquet", schema, to_raw, f"{at}/out", f"{at}/checkpoint").awaitTermination()
     return s.read.parquet(f"{at}/out").select("spec_index").distinct()
@@ -87,6 +80,21 @@ def resolved(s: SparkSession, d: str) -> DataFrame:
     return inst.groupBy("label").agg(F.count("*").alias("n")).unionByName(G.reason_counts(rejects).select(F.concat(F.lit("rejected: "), "reason").alias("label"), "n"))
 
 
+def rejects_read(s: SparkSession, d: str) -> DataFrame:
+    """The log's errors as rejects, written and read again."""
+    at = scratch(s)
+    write_rejects(raw(s, d).where("error IS NOT NULL").select("spec_index", F.lit("s").alias("sent_id"), F.col("error").alias("reason")), at)
+    return read_rejects(s, at).groupBy("spec_index").agg(F.count("*").alias("n"), F.max("reason").alias("reason"))
+
+
+def round_trip(s: SparkSession, d: str) -> DataFrame:
+    """Documents as a dataset, written with its manifest and loaded by its id with the digest verified."""
+    root = scratch(s)
+    made = write_dataset(documents(s, d).select("text", "label", "source", "sent_id", F.col("pair_no").cast("int").alias("pair_no")), root, "human")
+    m = manifests(s, root).select(F.col("size.n_instances").alias("n_instances"), F.col("size.n_sentences").alias("n_sentences"))
+    return load_dataset(s, root, made).groupBy("label").agg(F.count("*").alias("n")).crossJoin(m)
+
+
 _HEAD = "spec_index AS i FROM range(2000) AS t(spec_index)"
 
 
@@ -117,6 +125,10 @@ QUERIES = {
     "names_fingerprint": lambda s, d: L.fingerprint(plain_vocabulary(s, d), ["a", "b"], 0.3),
     "names_drawn": lambda s, d: L.drawn_names(table(s, d, "orders").select("o_orderkey"), plain_vocabulary(s, d), 5, 0.3, "o_orderkey"),
     "names_batched": lambda s, d: batches(plain_vocabulary(s, d).where("kind = 'drug'"), F.col("name"), 100, "name").select("batch", F.array_join("values", "|").alias("names")),
+    "names_listed": lambda s, d: batches(plain_vocabulary(s, d).where("kind = 'drug'"), F.col("name"), 100, "name").select("batch", listing(F.col("values")).alias("names")),
+    "log_error_count": lambda s, d: error_count(raw(s, d)),
+    "log_rejects_read": rejects_read,
+    "dataset_round_trip": round_trip,
     "specs_heads": lambda s, d: S.spec_heads(s, 2000, 3).select("spec_index", "register", "frame", "kind", "k", "has_scene", "n_axes"),
     "specs_whole": made_specs,
     "resolve_generated": resolved,
@@ -145,13 +157,13 @@ def _bad_drug(n: str) -> str:
 
 
 ORACLES = {
-    "log_counts": f"WITH {RAW} SELECT count(*) AS attempts, count(*) FILTER (NOT (error IS NULL AND sample IS NOT NULL)) AS errors, count(DISTINCT spec_index) AS indices, count(DISTINCT spec_index) FILTER (error IS NULL AND sample IS NOT NULL) AS succeeded FROM raw",
-    "log_todo": f"WITH {RAW} SELECT c_custkey AS spec_index FROM customer WHERE c_custkey NOT IN (SELECT spec_index FROM raw WHERE error IS NULL AND sample IS NOT NULL)",
-    "log_effective": f"WITH {RAW} SELECT spec_index, bool_or(error IS NULL AND sample IS NOT NULL) AS ok FROM raw GROUP BY spec_index",
+    "log_counts": f"WITH {RAW} SELECT count(*) AS attempts, count(*) FILTER (NOT (error IS NULL OR error = '')) AS errors, count(DISTINCT spec_index) AS indices, count(DISTINCT spec_index) FILTER (error IS NULL OR error = '') AS succeeded FROM raw",
+    "log_todo": f"WITH {RAW} SELECT c_custkey AS spec_index FROM customer WHERE c_custkey NOT IN (SELECT spec_index FROM raw WHERE error IS NULL OR error = '')",
+    "log_effective": f"WITH {RAW} SELECT spec_index, bool_or(error IS NULL OR error = '') AS ok FROM raw GROUP BY spec_index",
     "log_successes": f"WITH {RAW} SELECT spec_index, sample FROM raw WHERE (error IS NULL OR error = '') AND sample IS NOT NULL AND sample NOT IN ('', '{{}}', 'null')",
     "log_reason_counts": f"WITH {RAW} SELECT left(string_split(string_split(error, ':')[1], ' not found')[1], 60) AS reason, count(*) AS n FROM raw WHERE error IS NOT NULL GROUP BY 1",
-    "log_streamed_successes": f"WITH {RAW} SELECT DISTINCT spec_index FROM raw WHERE error IS NULL AND sample IS NOT NULL",
-    "names_flags": f"WITH n AS (SELECT doc_id, {_CLEAN.format('substr(text, 1, 28)')} AS name FROM documents WHERE lang = 'en') SELECT doc_id, {_bad('name')} AS bad, {_bad_group('name')} AS bad_group, {_bad_drug('name')} AS bad_drug, (contains(lower(name), ' and ') OR contains(name, '/')) AS unusable FROM n",
+    "log_streamed_successes": f"WITH {RAW} SELECT DISTINCT spec_index FROM raw WHERE error IS NULL OR error = ''",
+    "names_flags": f"WITH n AS (SELECT doc_id, {_CLEAN.format('text')} AS name FROM documents WHERE lang = 'en') SELECT doc_id, {_bad('name')} AS bad, {_bad_group('name')} AS bad_group, {_bad_drug('name')} AS bad_drug, (contains(lower(name), ' and ') OR contains(name, '/')) AS unusable FROM n",
     "names_classified": f"""WITH n AS (SELECT 7 AS k, {_CLEAN.format('p_name')} AS name FROM part UNION ALL SELECT length(substr(upper(p_brand), 1, 5)), {_CLEAN.format("upper(regexp_replace(p_type, '[0-9]', '', 'g'))")} FROM part),
 t AS (SELECT k, CASE WHEN k >= 7 OR upper(name) <> name OR lower(name) = name THEN name ELSE array_to_string(list_transform(string_split(lower(name), ' '), lambda x: upper(x[1:1]) || x[2:]), ' ') END AS name FROM n)
 SELECT CASE WHEN k >= 7 THEN 'drug' ELSE 'group' END AS kind, name, count(*) AS n FROM t WHERE (k >= 7 AND NOT {_bad_drug("name")}) OR (k IN (4, 5) AND NOT {_bad_group("name")}) GROUP BY 1, 2""",
@@ -160,6 +172,10 @@ SELECT CASE WHEN k >= 7 THEN 'drug' ELSE 'group' END AS kind, name, count(*) AS
     "names_drawn": f"""WITH {_VOC}, s AS (SELECT o_orderkey, CASE WHEN {sql_digit("'5:kind:' || CAST(o_orderkey AS VARCHAR)")} / 4294967296.0::DOUBLE < 0.3 THEN 'group' ELSE 'drug' END AS kind, {sql_digit("'5:name:' || CAST(o_orderkey AS VARCHAR)")} / 4294967296.0::DOUBLE AS u FROM orders),
 p AS (SELECT o_orderkey, kind, CAST(floor(u * (SELECT count(*) FROM voc WHERE voc.kind = s.kind)) AS INTEGER) AS pos FROM s) SELECT o_orderkey, kind, name FROM p LEFT JOIN voc USING (kind, pos)""",
     "names_batched": f"WITH {_VOC}, b AS (SELECT name, (row_number() OVER (ORDER BY name) - 1) // 100 AS batch FROM voc WHERE kind = 'drug') SELECT batch, string_agg(name, '|' ORDER BY name) AS names FROM b GROUP BY batch",
+    "names_listed": f"WITH {_VOC}, b AS (SELECT name, (row_number() OVER (ORDER BY name) - 1) AS i FROM voc WHERE kind = 'drug') SELECT i // 100 AS batch, string_agg(CAST(i % 100 AS VARCHAR) || '. ' || name, chr(10) ORDER BY name) AS names FROM b GROUP BY 1",
+    "log_error_count": f"WITH {RAW} SELECT count(*) AS n, count(*) FILTER (coalesce(error, '') <> '' OR coalesce(sample, '') IN ('', '{{}}', 'null')) AS errors FROM raw",
+    "log_rejects_read": f"WITH {RAW} SELECT spec_index, count(*) AS n, max(error) AS reason FROM raw WHERE error IS NOT NULL GROUP BY spec_index",
+    "dataset_round_trip": f"WITH {DOCUMENTS} SELECT label, count(*) AS n, (SELECT count(*) FROM docs) AS n_instances, (SELECT count(DISTINCT sent_id) FROM docs) AS n_sentences FROM docs GROUP BY label",
     "specs_heads": f"""WITH h AS (SELECT range AS spec_index, {_pick(S.REGISTERS, _u("register", "CAST(range AS VARCHAR)"))} AS register, {_pick({k: f[2] for k, f in S.FRAMES.items()}, _u("frame", "CAST(range AS VARCHAR)"))} AS frame, CAST({_pick(S.SIZES, _u("k", "CAST(range AS VARCHAR)"))} AS INTEGER) AS drawn, {_u("scene", "CAST(range AS VARCHAR)")} < 0.6 AS has_scene, CAST({_pick(S.N_AXES, _u("axes", "CAST(range AS VARCHAR)"))} AS INTEGER) AS n_axes FROM range(2000)),
 f AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v[0]}', {v[1]})" for k, v in S.FRAMES.items())}) AS f(frame, kind, least_n))
 SELECT spec_index, register, frame, kind, greatest(least_n, drawn) AS k, has_scene, n_axes FROM h JOIN f USING (frame)""",

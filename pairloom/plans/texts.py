@@ -13,7 +13,8 @@ from ..operators import measures as M
 from ..operators import pairs as J
 from ..operators import shape as C
 from ..operators import verify as V
-from ..schema import POSITIVE
+from ..schema import LABELS, POSITIVE
+from ..sources.store import scratch, written
 from .views import DOCUMENTS, MARKED, MENTIONS, SENTENCES, SQUEEZE, digit, documents, marked_pairs, mentions_in, sentences, sql_digit, table
 
 FRAME_NAMES = ("regimen", "denial", "incompatible", "sequential", "effect_pd", "effect_protect", "appositive", "contradictory", "title", "int")
@@ -39,14 +40,56 @@ def mentions(s: SparkSession, d: str) -> DataFrame:
     return J.token_mentions(en, lexicon(s, d))
 
 
-def relations(s: SparkSession, d: str) -> DataFrame:
-    """Relations between names of the lexicon: those whose hash says so."""
-    names = lexicon(s, d)
-    both = names.select(F.col("name").alias("name1")).crossJoin(F.broadcast(names.select(F.col("name").alias("name2")))).where("name1 <> name2")
+def relations(pairs: DataFrame) -> DataFrame:
+    """Relations, either way round, of the different names that stand together: those whose hash says so."""
+    once = pairs.where("name1 <> name2").select("name1", "name2").distinct()
+    both = once.unionByName(once.select(F.col("name2").alias("name1"), F.col("name1").alias("name2"))).distinct()
     h = digit(F.concat_ws("~", "name1", "name2"))
     return both.withColumn("no", h).where(h % 3 == 0).withColumn("label", F.element_at(F.array(*map(F.lit, POSITIVE)), (F.floor(h / 3) % 4 + 1).cast("int")))
 
 
+def kept_mentions(s: SparkSession, d: str) -> DataFrame:
+    """The mentions, written once where a query pairs them more than once."""
+    return written(mentions(s, d), scratch(s))
+
+
+def labelled(pairs: DataFrame, **how) -> DataFrame:
+    return J.labelled_pairs(pairs, relations(pairs), **how)
+
+
+def annotated(s: SparkSession, d: str) -> DataFrame:
+    """The sentences of ``marked_pairs`` as annotated ones: its three mentions are entities, its labels relations, the second one's the other way round."""
+    m = mentions_in(s, d)
+    ent = F.transform("spans", lambda x, i: F.struct(F.concat(F.lit("T"), i.cast("string")).alias("id"), x["begin"].alias("begin"), x["end"].alias("end")))
+    kind = lambda n: digit(F.concat_ws(":", "sent_id", F.lit(n))) % 10
+    rel = lambda n, a, b: F.struct(F.lit(f"T{a}").alias("arg1"), F.lit(f"T{b}").alias("arg2"), F.when(kind(n) >= 6, F.element_at(F.array(*map(F.lit, LABELS)), F.greatest(kind(n) - 4, F.lit(1)).cast("int"))).alias("type"))
+    rels = F.filter(F.array(rel(0, 0, 1), rel(1, 2, 0), rel(2, 1, 2)), lambda r: r["type"].isNotNull())
+    return m.select("sent_id", F.lit("en").alias("register"), F.col("t").alias("text"), ent.alias("entities"), rels.alias("relations"))
+
+
+def annotated_documents(s: SparkSession, d: str) -> DataFrame:
+    """Documents with twelve entities of five characters each, where a rule of the id says, and relations of neighbours."""
+    place = lambda k: (F.col("doc_id") * 7 + k * 31) % F.greatest(F.length("text") - 5, F.lit(1))
+    ents = F.array(*(F.struct(F.lit(f"T{k}").alias("id"), place(k).cast("int").alias("begin"), (place(k) + 5).cast("int").alias("end")) for k in range(12)))
+    rels = F.array(*(F.struct(F.lit(f"T{k}").alias("arg1"), F.lit(f"T{k + 1}").alias("arg2"), F.lit("INT").alias("type")) for k in range(11)))
+    return _docs(s, d).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").alias("register"), "text", ents.alias("entities"), rels.alias("relations"))
+
+
+def cut(s: SparkSession, d: str) -> DataFrame:
+    sents = J.sentence_documents(annotated_documents(s, d))
+    begins = F.aggregate("entities", F.lit(0), lambda acc, e: acc + e["begin"] * 1000 + e["end"])
+    return sents.select("sent_id", "register", F.size("entities").alias("entities"), begins.alias("places"), F.size("relations").alias("relations")).where("entities > 0")
+
+
+def judged(s: SparkSession, d: str) -> DataFrame:
+    """Batches that came back, four in five of them whole, as rows."""
+    b = V.verify_batches(marked_pairs(s, d))
+    last = F.size("pairs") - F.when(digit(F.concat(F.lit("w:"), "sent_id")) % 5 == 0, 2).otherwise(1)
+    said = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("pair"), (digit(F.concat_ws(":", F.lit("x"), "sent_id", i.cast("string"))) % 3 == 0).alias("annotated")))
+    raw = b.select("sent_id", F.to_json(F.struct(said.alias("verdicts"))).alias("sample"), F.lit(None).cast("string").alias("error"))
+    return V.verdict_rows(raw, b).select("sent_id", "m1", "m2", "gold", "gold_pos", "flagged")
+
+
 def closest(s: SparkSession, d: str) -> DataFrame:
     m = mentions(s, d)
     names = m.select("doc_id", "s", "name").distinct()
@@ -137,8 +180,20 @@ QUERIES = {
     "mentions_first": lambda s, d: J.first_mentions(mentions(s, d)).select("doc_id", "s", "name", "begin"),
     "mention_overlaps": lambda s, d: mentions(s, d).withColumn("before", F.lag("end").over(Window.partitionBy("doc_id", "s").orderBy("begin"))).where("before > begin").select("doc_id", "s", "begin"),
     "pairs_of_mentions": lambda s, d: J.mention_pairs(mentions(s, d)),
-    "pairs_labelled": lambda s, d: J.labelled_pairs(J.mention_pairs(mentions(s, d)), relations(s, d)).select("doc_id", "s", "ord1", "ord2", "label"),
-    "pairs_labelled_by_name": lambda s, d: J.labelled_pairs(J.mention_pairs(J.first_mentions(mentions(s, d))), relations(s, d), directed=False).where("name1 <> name2").select("doc_id", "s", "name1", "name2", "label"),
+    "pairs_labelled": lambda s, d: labelled(J.mention_pairs(kept_mentions(s, d))).select("doc_id", "s", "ord1", "ord2", "label"),
+    "pairs_one_way": lambda s, d: labelled(J.mention_pairs(kept_mentions(s, d)), one_way=True).groupBy("doc_id", "label").agg(F.count("*").alias("n"), F.sum("ord1").alias("ords")),
+    "pairs_labelled_by_name": lambda s, d: labelled(J.mention_pairs(J.first_mentions(kept_mentions(s, d))), directed=False).where("name1 <> name2").select("doc_id", "s", "name1", "name2", "label"),
+    "pairs_self_binds": lambda s, d: J.self_binds(J.mention_pairs(mentions(s, d))),
+    "instances_markers": lambda s, d: J.pair_instances(annotated(s, d))[0].select("sent_id", "pair_no", "label", F.md5("text").alias("digest")),
+    "instances_masked": lambda s, d: J.pair_instances(annotated(s, d), "mask_targets")[0].select("sent_id", "pair_no", "label", F.md5("text").alias("digest")),
+    "instances_masked_all": lambda s, d: J.pair_instances(annotated(s, d), "mask_all")[0].select("sent_id", "pair_no", "label", F.md5("text").alias("digest")),
+    "documents_cut": cut,
+    "documents_cut_positive": lambda s, d: J.multi_entity(J.sentence_documents(annotated_documents(s, d)), 2, True).groupBy("register").agg(F.count("*").alias("n")),
+    "documents_restricted": lambda s, d: J.restricted(_docs(s, d), table(s, d, "labels").where("quality = 1"), "doc_id").select("doc_id", "source"),
+    "text_mechanism_profile": lambda s, d: M.pattern_profile(_docs(s, d), M.MECHANISM),
+    "verify_verdict_rows": judged,
+    "verify_siblings": lambda s, d: V.siblings(V.aligned(marked_pairs(s, d), verdicts(s, d))).groupBy("label", "flagged").agg(F.count("*").alias("n"), F.sum("no").cast("long").alias("nos")),
+    "verify_flagged_described": lambda s, d: V.described(V.aligned(marked_pairs(s, d), verdicts(s, d)).where("flagged")),
     "pairs_ordered": lambda s, d: J.ordered_pairs(mentions(s, d)).groupBy("doc_id").agg(F.count("*").alias("n")),
     "pairs_closest": closest,
     "pairs_conflicting": conversations_before,
@@ -174,9 +229,10 @@ _MENT = (
 found AS (SELECT doc_id, s, lower(regexp_extract(w, '[A-Za-z]+', 0)) AS name, CAST(start + instr(w, regexp_extract(w, '[A-Za-z]+', 0)) - 1 AS INTEGER) AS begin FROM toks WHERE regexp_extract(w, '[A-Za-z]+', 0) <> ''),
 ment AS (SELECT doc_id, s, name, begin, CAST(begin + length(name) AS INTEGER) AS "end", CAST(row_number() OVER (PARTITION BY doc_id, s ORDER BY begin) AS INTEGER) AS ord FROM found WHERE name IN (SELECT name FROM lex))"""
 )
-_CAPPED = "capped AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM {t}) WHERE c * (c - 1) / 2 < 190)"
-_REL = f"rel AS (SELECT name1, name2, h AS no, ['ADVISE', 'EFFECT', 'INT', 'MECHANISM'][CAST(h // 3 % 4 + 1 AS INTEGER)] AS label FROM (SELECT a.name AS name1, b.name AS name2, {sql_digit(chr(39).join(['a.name || ', '~', ' || b.name']))} AS h FROM lex AS a, lex AS b WHERE a.name <> b.name) WHERE h % 3 = 0)"
-_PAIRS = 'pairs AS (SELECT doc_id, s, a.name AS name1, a.begin AS begin1, a."end" AS end1, a.ord AS ord1, b.name AS name2, b.begin AS begin2, b."end" AS end2, b.ord AS ord2 FROM capped AS a JOIN capped AS b USING (doc_id, s) WHERE a.ord < b.ord)'
+_HASH = lambda a, b: sql_digit(f"{a} || '~' || {b}")
+_KIND = lambda h: f"['ADVISE', 'EFFECT', 'INT', 'MECHANISM'][CAST({h} // 3 % 4 + 1 AS INTEGER)]"
+_REL = lambda a, b: f"CASE WHEN {a} <> {b} AND {_HASH(a, b)} % 3 = 0 THEN {_KIND(_HASH(a, b))} END"
+_PAIRS = 'pairs AS (SELECT doc_id, s, a.name AS name1, a.begin AS begin1, a."end" AS end1, a.ord AS ord1, b.name AS name2, b.begin AS begin2, b."end" AS end2, b.ord AS ord2 FROM {t} AS a JOIN {t} AS b USING (doc_id, s) WHERE a.ord < b.ord)'
 _FIRST = "firsts AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, s, name ORDER BY begin) AS r FROM ment) WHERE r = 1)"
 _POS = "CAST(length(list_aggregate(w[1:{k} - 1], 'string_agg', ' ')) + 1 AS INTEGER)"
 _VERDICT = sql_digit("'v:' || sent_id || ':' || CAST(pair_no AS VARCHAR)")
@@ -186,6 +242,14 @@ _GOLD = "gold AS (SELECT sent_id, string_agg(label, ' ' ORDER BY pair_no) AS gol
 _SHAPE = SENTENCES + f""", sh AS (SELECT *, CASE WHEN n_entities >= 2 THEN {sql_digit("sent_id")} % 2 ELSE 0 END AS n_positive FROM (SELECT CAST(doc_id AS VARCHAR) || ':' || CAST(s AS VARCHAR) AS sent_id, lang AS register, piece AS text, CAST(length(regexp_replace(piece, '[^A-Z]', '', 'g')) AS INTEGER) AS n_entities FROM pieces))"""
 
 
+_CUT = (
+    SENTENCES
+    + """, ents AS (SELECT doc_id, k, (doc_id * 7 + k * 31) % greatest(length(text) - 5, 1) AS b FROM documents, (SELECT unnest(range(12)) AS k)),
+ins AS (SELECT CAST('human:' || p.lang || ':' || CAST(p.doc_id AS VARCHAR) || ':s' || CAST(s AS VARCHAR) AS VARCHAR) AS sent_id, p.lang, k, b - (e - length(piece)) AS b, b + 5 - (e - length(piece)) AS z FROM pieces AS p JOIN ents USING (doc_id) WHERE b >= e - length(piece) AND b + 5 <= e),
+cut AS (SELECT sent_id, lang, count(*) AS n, sum(b * 1000 + z) AS places, (SELECT count(*) FROM ins AS x JOIN ins AS y ON x.sent_id = y.sent_id AND y.k = x.k + 1 WHERE x.sent_id = i.sent_id) AS rels FROM ins AS i GROUP BY sent_id, lang)"""
+)
+
+
 def _q(p: str) -> str:
     return "'" + p.replace("'", "''") + "'"
 
@@ -216,9 +280,23 @@ SELECT doc_id FROM t JOIN runs USING (doc_id) WHERE m > 6 OR CAST(len(list_disti
     "mentions": f'WITH {_MENT} SELECT doc_id, CAST(s AS INTEGER) AS s, name, begin, "end", ord FROM ment',
     "mentions_first": f"WITH {_MENT}, {_FIRST} SELECT doc_id, CAST(s AS INTEGER) AS s, name, begin FROM firsts",
     "mention_overlaps": f'WITH {_MENT} SELECT doc_id, CAST(s AS INTEGER) AS s, begin FROM (SELECT *, lag("end") OVER (PARTITION BY doc_id, s ORDER BY begin) AS before FROM ment) WHERE before > begin',
-    "pairs_of_mentions": f"WITH {_MENT}, {_CAPPED.format(t='ment')}, {_PAIRS} SELECT doc_id, CAST(s AS INTEGER) AS s, name1, begin1, end1, ord1, name2, begin2, end2, ord2 FROM pairs",
-    "pairs_labelled": f"WITH {_MENT}, {_CAPPED.format(t='ment')}, {_PAIRS}, {_REL} SELECT doc_id, CAST(s AS INTEGER) AS s, ord1, ord2, coalesce(f.label, r.label, 'NONE') AS label FROM pairs LEFT JOIN rel AS f ON pairs.name1 = f.name1 AND pairs.name2 = f.name2 LEFT JOIN rel AS r ON pairs.name1 = r.name2 AND pairs.name2 = r.name1",
-    "pairs_labelled_by_name": f"WITH {_MENT}, {_FIRST}, {_CAPPED.format(t='firsts')}, {_PAIRS}, {_REL}, un AS (SELECT least(name1, name2) AS lo, greatest(name1, name2) AS hi, arg_max(label, no) AS label FROM rel GROUP BY 1, 2) SELECT doc_id, CAST(s AS INTEGER) AS s, name1, name2, coalesce(label, 'NONE') AS label FROM pairs LEFT JOIN un ON lo = least(name1, name2) AND hi = greatest(name1, name2) WHERE name1 <> name2",
+    "pairs_of_mentions": f"WITH {_MENT}, {_PAIRS.format(t='ment')} SELECT doc_id, CAST(s AS INTEGER) AS s, name1, begin1, end1, ord1, name2, begin2, end2, ord2 FROM pairs",
+    "pairs_labelled": f"WITH {_MENT}, {_PAIRS.format(t='ment')} SELECT doc_id, CAST(s AS INTEGER) AS s, ord1, ord2, coalesce({_REL('name1', 'name2')}, {_REL('name2', 'name1')}, 'NONE') AS label FROM pairs",
+    "pairs_one_way": f"WITH {_MENT}, {_PAIRS.format(t='ment')} SELECT doc_id, coalesce({_REL('name1', 'name2')}, 'NONE') AS label, count(*) AS n, CAST(sum(ord1) AS BIGINT) AS ords FROM pairs GROUP BY 1, 2",
+    "pairs_labelled_by_name": f"""WITH {_MENT}, {_FIRST}, {_PAIRS.format(t='firsts')}, h AS (SELECT *, {_HASH('name1', 'name2')} AS f, {_HASH('name2', 'name1')} AS b FROM pairs)
+SELECT doc_id, CAST(s AS INTEGER) AS s, name1, name2, CASE WHEN f % 3 = 0 AND (b % 3 <> 0 OR f > b) THEN {_KIND('f')} WHEN b % 3 = 0 THEN {_KIND('b')} ELSE 'NONE' END AS label FROM h WHERE name1 <> name2""",
+    "pairs_self_binds": f"WITH {_MENT}, {_PAIRS.format(t='ment')} SELECT count(*) AS n FROM pairs WHERE name1 = name2",
+    "instances_markers": f"WITH {MARKED} SELECT sent_id, CAST(pair_no AS INTEGER) AS pair_no, label, md5(text) AS digest FROM inst",
+    "instances_masked": f"""WITH {MARKED} SELECT sent_id, CAST(pair_no AS INTEGER) AS pair_no, label, md5(regexp_replace(regexp_replace(text, '(?s)\\[E1\\].*?\\[/E1\\]', 'drug1', 'g'), '(?s)\\[E2\\].*?\\[/E2\\]', 'drug2', 'g')) AS digest FROM inst""",
+    "instances_masked_all": f"WITH {MARKED} SELECT inst.sent_id, CAST(inst.pair_no AS INTEGER) AS pair_no, label, md5(array_to_string(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i = a THEN 'drug1' WHEN i = b THEN 'drug2' WHEN i IN (2, 4, 5) THEN 'drug0' ELSE w[i] END), ' ')) AS digest FROM inst JOIN ments ON inst.sent_id = ments.sent_id JOIN (VALUES (0, 2, 4), (1, 2, 5), (2, 4, 5)) AS v(n, a, b) ON inst.pair_no = v.n",
+    "documents_cut": f"WITH {_CUT} SELECT sent_id, lang AS register, CAST(n AS INTEGER) AS entities, CAST(places AS INTEGER) AS places, CAST(rels AS INTEGER) AS relations FROM cut",
+    "documents_cut_positive": f"WITH {_CUT} SELECT lang AS register, count(*) AS n FROM cut WHERE n >= 2 AND rels > 0 GROUP BY lang",
+    "documents_restricted": "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
+    "text_mechanism_profile": "SELECT count(*) AS n, " + ", ".join(f"avg(CASE WHEN regexp_matches(text, {_q(x)}) THEN 1.0::DOUBLE ELSE 0 END) AS {k}" for k, x in M.MECHANISM.items()) + " FROM documents",
+    "verify_verdict_rows": f"""WITH {MARKED} SELECT sent_id, CAST(x AS INTEGER) AS m1, CAST(y AS INTEGER) AS m2, label AS gold, label <> 'NONE' AS gold_pos, {sql_digit("'x:' || sent_id || ':' || CAST(pair_no AS VARCHAR)")} % 3 = 0 AS flagged
+FROM inst JOIN (VALUES (0, 1, 2), (1, 1, 3), (2, 2, 3)) AS v(n, x, y) ON pair_no = n WHERE {sql_digit("'w:' || sent_id")} % 5 <> 0""",
+    "verify_siblings": f"WITH {_ALIGNED} SELECT b.label, b.flagged, count(*) AS n, CAST(sum(b.pair_no) AS BIGINT) AS nos FROM al AS a JOIN al AS b USING (sent_id) WHERE a.flagged AND b.judged GROUP BY 1, 2",
+    "verify_flagged_described": f"WITH {_ALIGNED}, f AS (SELECT al.sent_id, len(w) AS n FROM al JOIN ments ON al.sent_id = ments.sent_id WHERE flagged), l AS (SELECT list_sort(list(n)) AS l, count(*) AS n, count(DISTINCT sent_id) AS sentences FROM f) SELECT n, sentences, CAST(l[1 + n // 2] AS INTEGER) AS median_length, CAST(n AS DOUBLE) / sentences AS per_sentence FROM l",
     "pairs_ordered": f"WITH {_MENT} SELECT doc_id, count(*) AS n FROM ment AS a JOIN ment AS b USING (doc_id, s) WHERE a.ord <> b.ord GROUP BY doc_id",
     "pairs_closest": f"WITH {_MENT}, both_m AS (SELECT doc_id, s, a.name AS name1, b.name AS name2, a.begin AS begin1, b.begin AS begin2, row_number() OVER (PARTITION BY doc_id, s, a.name, b.name ORDER BY abs(a.begin - b.begin), a.ord, b.ord) AS r FROM ment AS a JOIN ment AS b USING (doc_id, s) WHERE a.name < b.name) SELECT doc_id, CAST(s AS INTEGER) AS s, CAST(0 AS INTEGER) AS no, name1, name2, begin1, begin2 FROM both_m WHERE r = 1",
     "pairs_conflicting": "WITH c AS (SELECT conv_id, turn, role, CASE WHEN length(text) > 200 THEN 'long' ELSE 'short' END AS label FROM conversations) SELECT conv_id, turn, label, before FROM (SELECT *, lag(label) OVER (PARTITION BY conv_id, role ORDER BY turn) AS before FROM c) WHERE before <> label",

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 import subprocess
+import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,14 +83,18 @@ def load_dataset(spark: SparkSession, root: str, dataset_id: str, verify: bool =
 
 
 def lineage(manifest: DataFrame) -> DataFrame:
-    """(dataset_id, ancestor, depth) along parent_id, up to eight generations."""
+    """(dataset_id, ancestor, depth) along parent_id to the end; an ancestor that comes round again ends it."""
     m = manifest.select("dataset_id", "parent_id")
     step = m.where("parent_id IS NOT NULL").select("dataset_id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("depth"))
     out, now = step, step
     up = m.select(F.col("dataset_id").alias("ancestor"), "parent_id")
-    for depth in range(2, 9):
+    at, depth = scratch(manifest.sparkSession), 2
+    out = now = written(now, f"{at}/1")
+    while not now.isEmpty():
         now = now.join(up, "ancestor").where("parent_id IS NOT NULL").select("dataset_id", F.col("parent_id").alias("ancestor"), F.lit(depth).alias("depth"))
-        out = out.unionByName(now)
+        now = now.join(out.select("dataset_id", "ancestor"), ["dataset_id", "ancestor"], "left_anti")
+        now = written(now.select("dataset_id", "ancestor", "depth"), f"{at}/{depth}")
+        out, depth = out.unionByName(now), depth + 1
     return out
 
 
@@ -162,6 +169,33 @@ def write_rejects(rejects: DataFrame, path: str) -> bool:
     return True
 
 
+def read_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(spec_index, sent_id, reason) of rejects as ``write_rejects`` leaves them; no file, no rejects."""
+    kind = "spec_index long, sent_id string, reason string"
+    try:
+        return spark.read.schema(kind).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], kind)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; a temporary one only for a local master without that setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"{tempfile.gettempdir()}/pairloom-scratch"
+    return f"{root.rstrip('/')}/{new_id()}"
+
+
+def written(rows: DataFrame, path: str) -> DataFrame:
+    """The same rows, read from a table written at path."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def guard_evaluation(train: DataFrame, evaluation: DataFrame) -> None:
     """Refuse to score on generated data, or across render modes; both are manifest rows."""
     t, e = train.first(), evaluation.first()
@@ -175,10 +209,13 @@ def write_table(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
-def report_text(title: str, tables: dict[str, DataFrame], limit: int = 100) -> str:
-    """A Markdown report of small tables."""
+def report_text(title: str, tables: dict[str, DataFrame], limit: int | None = None) -> str:
+    """A Markdown report of small tables; a limit is named where it leaves rows out."""
     out = [f"# {title}"]
     for name, df in tables.items():
         out += ["", f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-        out += ["| " + " | ".join(str(v) for v in r) + " |" for r in df.limit(limit).collect()]
+        rows = df.collect() if limit is None else df.limit(limit + 1).collect()
+        out += ["| " + " | ".join(str(v) for v in r) + " |" for r in rows[:limit]]
+        if limit is not None and len(rows) > limit:
+            out += ["", f"The first {limit} rows; there are more."]
     return "\n".join(out) + "\n"

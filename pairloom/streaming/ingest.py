@@ -9,15 +9,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..schema import RAW
 
 
+#: An attempt counts as done where it has no error; an empty one is none.
+DONE = "(error IS NULL OR error = '')"
+
+
 def succeeded(raw: DataFrame) -> DataFrame:
-    return raw.where("error IS NULL AND sample IS NOT NULL").select("spec_index").distinct()
+    return raw.where(DONE).select("spec_index").distinct()
 
 
 def todo(specs: DataFrame, raw: DataFrame) -> DataFrame:
@@ -27,17 +31,23 @@ def todo(specs: DataFrame, raw: DataFrame) -> DataFrame:
 
 def effective(raw: DataFrame) -> DataFrame:
     """One row an index: a success if there is one, else any error."""
-    ok = F.col("error").isNull() & F.col("sample").isNotNull()
+    ok = F.expr(DONE)
     best = F.max_by(F.struct("spec", "sample", "error"), F.struct(ok.alias("ok"), F.coalesce("sample", "error", F.lit("")).alias("x")))
     return raw.groupBy("spec_index").agg(best.alias("r")).select("spec_index", "r.*")
 
 
 def log_counts(raw: DataFrame) -> DataFrame:
     """(attempts, errors, indices, succeeded): every attempt counts as an error or not."""
-    ok = F.col("error").isNull() & F.col("sample").isNotNull()
+    ok = F.expr(DONE)
     return raw.agg(F.count("*").alias("attempts"), F.count_if(~ok).alias("errors"), F.count_distinct("spec_index").alias("indices"), F.count_distinct(F.when(ok, F.col("spec_index"))).alias("succeeded"))
 
 
+def observed(raw: DataFrame, name: str = "log") -> tuple[DataFrame, Observation]:
+    """raw, and what its next run counts on the way: ``ok`` and ``err``, without a job of their own."""
+    seen = Observation(name)
+    return raw.observe(seen, F.count_if(F.expr(DONE)).alias("ok"), F.count_if(~F.expr(DONE)).alias("err")), seen
+
+
 def called(specs: DataFrame, call: Callable[[str], str], at_once: int | None = None) -> DataFrame:
     """Raw rows of calling a function with each request's JSON; its exception is the row's error.
 
@@ -64,10 +74,13 @@ def generate(specs: DataFrame, call: Callable[[str], str], path: str, attempts:
     spark, total = specs.sparkSession, specs.count()
     empty = spark.createDataFrame([], RAW)
     log = lambda: spark.read.schema(RAW).json(path) if _there(spark, path) else empty
+    done = succeeded(log()).count()
     for _ in range(attempts):
-        if succeeded(log()).count() >= enough * total:
+        if done >= enough * total:
             break
-        called(todo(specs, log()), call, at_once).write.mode("append").json(path)
+        rows, seen = observed(called(todo(specs, log()), call, at_once))
+        rows.write.mode("append").json(path)
+        done += seen.get["ok"]  # what was left to do had no success before
     return log()
 
 
@@ -92,5 +105,5 @@ def stream_log(spark: SparkSession, source: str, schema, to_raw: Callable[[DataF
 
 def stream_successes(spark: SparkSession, source: str, schema, to_raw: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
     """The first success of each index, exactly once across restarts: the state is the set of indices seen."""
-    rows = to_raw(spark.readStream.schema(schema).parquet(source)).where("error IS NULL AND sample IS NOT NULL")
+    rows = to_raw(spark.readStream.schema(schema).parquet(source)).where(DONE)
     return rows.dropDuplicates(["spec_index"]).writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
