@@ -223,7 +223,7 @@ def build(raw: DataFrame, gen_id: str, root: str, form: str = "sentence", mode:
         inst, rejects = masked, rejects.unionByName(dropped.select(F.lit(None).cast("long").alias("spec_index"), "sent_id", F.lit("overlapping spans").alias("reason")))
     dataset_id = store.write_dataset(inst, root, "generated", generator=gen_id, render_mode=mode, **more)
     store.write_rejects(rejects, f"{root}/rejects/{dataset_id}")
-    log = raw.agg(F.count("*").alias("attempts"), F.count_if("error <> ''").alias("errors"))
+    log = raw.agg(F.count("*").alias("attempts"), F.count_if(F.coalesce(F.col("error"), F.lit("")) != "").alias("errors"))
     n = inst.agg(F.count("*").alias("built")).crossJoin(rejects.agg(F.count("*").alias("rejected"))).crossJoin(log)
     return dataset_id, n
 

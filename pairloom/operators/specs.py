@@ -73,7 +73,6 @@ def specs(spark: SparkSession, n: int, vocab: DataFrame, seed: int = 0, p_group:
     sizes = {r.kind: r.n for r in vocab.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     drugs, groups = sizes.get("drug", 0), sizes.get("group", 0)
     # a few candidates go far, as names rarely collide; only requests that are short after 16 draw the rest
-    done = None
     short = heads.withColumn("got", F.expr("cast(array() as array<struct<name:string,kind:string>>)"))
     for first, end in ((0, min(16, tries)), (16, tries)):
         if first >= end:
@@ -87,9 +86,8 @@ def specs(spark: SparkSession, n: int, vocab: DataFrame, seed: int = 0, p_group:
         clash = lambda acc, x: F.exists(acc, lambda g: F.contains(F.lower(g["name"]), F.lower(x["name"])) | F.contains(F.lower(x["name"]), F.lower(g["name"])))
         add = lambda acc, x: F.when(clash(acc, x), acc).otherwise(F.concat(acc, F.array(F.struct(x["name"].alias("name"), x["kind"].alias("kind")))))
         short = short.join(lists, "spec_index", "left").withColumn("got", F.aggregate(F.coalesce("cand", F.expr("cast(array() as array<struct<t:int,name:string,kind:string>>)")), F.col("got"), add)).drop("cand")
-        done = short
     keys = F.transform(F.slice("got", F.lit(1), F.col("k")), lambda x, i: F.struct(F.char(F.lit(65) + i).alias("key"), x["name"].alias("surface"), F.when(x["kind"] == "group", "GROUP").otherwise("DRUG").alias("type")))
-    s = done.withColumn("entities", keys).withColumn("complete", F.size("got") >= F.col("k"))
+    s = short.withColumn("entities", keys).withColumn("complete", F.size("got") >= F.col("k"))
     pos_of = F.create_map(*(x for k, f in FRAMES.items() for x in (F.lit(k), F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(lab).alias("label")) for a, b, lab in f[3])) if f[3] else F.expr("cast(array() as array<struct<a:string,b:string,label:string>>)"))))
     focus = F.create_map(*(x for k, f in FRAMES.items() for x in (F.lit(k), F.lit(f[4]))))
     s = s.withColumn("__pos", pos_of[F.col("frame")]).withColumn("names", F.transform("entities", lambda e: e["key"]))
