@@ -1,21 +1,16 @@
-"""Near-duplicate groups by SimHash and meet-in-the-middle ball hashing.
+"""Near-duplicate groups by SimHash, with all pairs of fingerprints up to a distance.
 
 A text's fingerprint has ``BITS`` bits, each the sign of a sum over its distinct words.
-``BLOCKS`` stretches of ``BLOCK_BITS`` bits of it are searched, each for all pairs that
-differ in at most two of its bits: every different value of a stretch emits itself and its
-variants that differ in one bit (half the radius), so two values meet on a variant exactly
-when they are within the radius.  Values are made distinct before they emit, so a value
-that a third of all texts share emits once, and at most ``BLOCK_BITS`` + 1 meet on one
-variant.  Texts whose values meet are compared on the whole fingerprint.
-
-The stretches reach pairs up to ``DISTANCE`` bits with a chance that falls with their
-distance: 1 up to 41 bits (three in each of 14 stretches are 42), on average 0.99 at 50, 0.95 at 60 and 0.85 at 68.
-
-Each set of texts that meet is linked by a breadth-first walk over its verified pairs.  The
-walk compares a reached text with all not yet reached, so its links connect just what
-all verified pairs of the set connect, at a cost near the set's size where copies abound.
-A set larger than ``TOGETHER`` is walked in pairs of parts, each held by a task of its own;
-no number of copies is capped.
+All pairs that differ in at most ``DISTANCE`` bits are linked, none by chance: with
+``BLOCKS`` blocks of ``BLOCK_BITS`` bits such a pair has a block in which at most
+``DISTANCE`` // ``BLOCKS`` bits differ, and in one of its ``QUARTERS`` quarters at most a
+quarter of these, so one bit.  Texts are put in buckets by a quarter; a bucket is compared with itself and
+with those a bit away by the block, and pairs near there by the whole fingerprint.  That is an
+eighth of all pairs of the check tables, at about a nanosecond a pair for large tables.
+
+A task has some of the blocks and all texts, or above ``TOGETHER`` texts one of the pairs of
+parts of them.  Its links connect just what all its pairs connect: pairs of texts that are
+connected already are passed over, and where a bucket abounds with them they are not even compared.
 """
 
 from __future__ import annotations
@@ -35,14 +30,14 @@ from pyspark.sql import types as T
 from .common import dropped, fresh, lowered, shared_dir, slices, table, written
 from .components import components
 
-BITS, BLOCKS, BLOCK_BITS = 512, 14, 36
+BITS, BLOCKS, QUARTERS, BLOCK_BITS = 512, 9, 4, 56
 #: Bits in which two near copies' fingerprints differ at most.
 DISTANCE = 68
-#: Texts of a set that a task holds; a larger set is walked in pairs of parts of half as many.
-TOGETHER = 8192
+#: Texts that a task holds; more are compared in pairs of parts of half as many.
+TOGETHER = 1 << 21
 _LANES = BITS // 64
-#: Low bits of a variant's key: its number, and whether several texts have the value.
-_FREE, _SHARED = 7, 64
+#: Pairs that are compared at a time, and pairs up to which all are compared without buckets.
+_TILE, _FEW = 1 << 16, 1 << 21
 _WORD = re.compile(r"\w+")
 #: Words whose bits a worker keeps; beyond it the store starts anew.
 _KEPT = 50_000
@@ -114,42 +109,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, kind)
 
 
-def _blocks(fp) -> list:
-    """Columns: the value of each searched stretch, with the stretch's number above it."""
-    out = []
-    for k in range(BLOCKS):
-        lane, low = divmod(k * BLOCK_BITS, 64)
-        part = F.shiftrightunsigned(fp[lane], low)
-        if low + BLOCK_BITS > 64:
-            part = part.bitwiseOR(F.shiftleft(fp[lane + 1], 64 - low))
-        part = part.bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
-        out.append(part.bitwiseOR(F.lit(k << BLOCK_BITS)))
-    return out
-
-
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, value) of the sorted variants that at least two values share, and of values that several texts have."""
-
-    def picked(x: np.ndarray) -> pa.RecordBatch:
-        k, variant = x >> _FREE, x & (_SHARED - 1)
-        start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        size = np.diff(np.r_[start, len(k)])
-        keep = np.repeat((size > 1) | ((x[start] & _SHARED) > 0), size)
-        k, variant = k[keep], variant[keep]
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.where(variant > 0, k ^ (1 << np.maximum(variant - 1, 0)), k))], names=["k", "value"])
-
-    rest = np.empty(0, np.int64)
-    for b in batches:
-        x = np.r_[rest, b.column(0).to_numpy()]
-        if len(x):
-            cut = int(np.searchsorted(x, (x[-1] >> _FREE) << _FREE))
-            if cut:
-                yield picked(x[:cut])
-            rest = x[cut:]
-    if len(rest):
-        yield picked(rest)
-
-
 def walk(ids: np.ndarray, fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links (a, b) that connect what all pairs within the distance connect."""
     left, links = np.arange(len(ids)), []
@@ -164,50 +123,176 @@ def walk(ids: np.ndarray, fps: np.ndarray, distance: int) -> list[tuple[int, int
     return links
 
 
-def _linked(distance: int):
+def _block(fps: np.ndarray, k: int, quarter: int) -> np.ndarray:
+    """The k-th block of each fingerprint, turned so that the quarter is on top."""
+    lane, low = divmod(k * BLOCK_BITS, 64)
+    v = fps[:, lane] >> np.uint64(low)
+    if low + BLOCK_BITS > 64:
+        v |= fps[:, lane + 1] << np.uint64(64 - low)
+    turn, mask = quarter * (BLOCK_BITS // QUARTERS), np.uint64((1 << BLOCK_BITS) - 1)
+    v &= mask
+    return ((v << np.uint64(turn)) | (v >> np.uint64(BLOCK_BITS - turn))) & mask if turn else v
+
+
+class _Links:
+    """Links of verified pairs, each between texts that were not connected before."""
+
+    def __init__(self, fps: np.ndarray, distance: int):
+        self.fps, self.distance = fps, distance
+        self.label = np.arange(len(fps))
+        self._members: dict[int, list[int]] = {}
+        self.links: list[tuple[int, int]] = []
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Compare pairs on the whole fingerprint and link those within the distance."""
+        apart = self.label[i] != self.label[j]
+        i, j = i[apart], j[apart]
+        near = np.bitwise_count(self.fps[i] ^ self.fps[j]).sum(1, dtype=np.int64) <= self.distance
+        for a, b in zip(i[near].tolist(), j[near].tolist(), strict=True):
+            x, y = int(self.label[a]), int(self.label[b])
+            if x == y:
+                continue
+            self.links.append((a, b))
+            of = self._members
+            more, less = of.pop(x, None) or [x], of.pop(y, None) or [y]
+            if len(more) < len(less):
+                x, more, less = y, less, more
+            self.label[less] = x
+            more += less
+            of[x] = more
+
+    def tile(self, rows: np.ndarray, cols: np.ndarray, row_values: np.ndarray, col_values: np.ndarray, radius: int) -> None:
+        """Compare all rows with all columns by their values, then what is near there whole."""
+        width = len(cols)
+        found = np.flatnonzero(np.bitwise_count(row_values[:, None] ^ col_values[None, :]).ravel() <= radius)
+        if len(found):
+            self.add(rows[found // width], cols[found % width])
+
+
+def _masks(bits: int, radius: int) -> list[int]:
+    """Numbers of so many bits with at most ``radius`` ones, but 0."""
+    out = {0}
+    for _ in range(radius):
+        out |= {m | (1 << i) for m in out for i in range(bits)}
+    return sorted(out - {0})
+
+
+def near_links(fps: np.ndarray, other: int, distance: int, blocks: range = range(BLOCKS)) -> list[tuple[int, int]]:
+    """Links (a, b) of rows of ``fps`` that connect what their pairs within the distance connect.
+
+    The rows from ``other`` on are another part: each of the rows before it is compared with
+    these only; where there is no other part, ``other`` is the number of rows, all rows are
+    compared with each other.  The blocks are those that find a pair; all of them find all pairs.
+    """
+    n, apart = len(fps), other < len(fps)
+    found = _Links(fps, distance)
+    if other * (n - other if apart else n) <= _FEW:
+        every = np.arange(n)
+        for a in range(0, other, 256):
+            rows = every[a : min(a + 256, other)]
+            for c in range(other if apart else a, n, 256):
+                cols = every[c : c + 256]
+                near = np.bitwise_count(fps[rows][:, None] ^ fps[cols][None]).sum(2, dtype=np.int64) <= distance
+                i, j = np.nonzero(near)
+                found.add(rows[i], cols[j])
+        return found.links
+    block_radius = distance // BLOCKS
+    width = BLOCK_BITS // QUARTERS
+    masks = _masks(width, block_radius // QUARTERS)
+    for k in blocks:
+        for quarter in range(QUARTERS):
+            v = _block(fps, k, quarter)
+            top = (v >> np.uint64(BLOCK_BITS - width)).astype(np.int64)
+            order = np.argsort(top[:other], kind="stable")
+            size = np.bincount(top[:other], minlength=1 << width)
+            start = np.r_[0, np.cumsum(size)].tolist()
+            there, begin = (order, start) if not apart else (other + np.argsort(top[other:], kind="stable"), np.r_[0, np.cumsum(np.bincount(top[other:], minlength=1 << width))].tolist())
+            of, near_of = v[order], v[there]
+            for h in np.flatnonzero(size).tolist():
+                a, z = start[h], start[h + 1]
+                spans = [(begin[y], begin[y + 1]) for m in masks if ((y := h ^ m) > h or apart) and begin[y] < begin[y + 1]]
+                if apart and begin[h] < begin[h + 1]:
+                    spans.append((begin[h], begin[h + 1]))
+                rows, values = order[a:z], of[a:z]
+                cols = np.concatenate([there[x:y] for x, y in spans]) if spans else rows[:0]
+                col_values = np.concatenate([near_of[x:y] for x, y in spans]) if spans else values[:0]
+                if not apart:
+                    cols, col_values = np.concatenate([rows, cols]), np.concatenate([values, col_values])
+                if len(rows) * len(cols) > _TILE:
+                    _large(found, rows, cols, values, col_values, block_radius, 0 if apart else len(rows))
+                elif len(cols) > (not apart):
+                    found.tile(rows, cols, values, col_values, block_radius)
+    return found.links
+
+
+def _large(found: _Links, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, col_values: np.ndarray, radius: int, own: int) -> None:
+    """A large bucket: rows of one group leave out the columns of that group.  The first ``own`` columns are the rows."""
+    own_rows, own_values = cols[:own], col_values[:own]
+    cols, col_values = cols[own:], col_values[own:]
+    done, turn = 0, 1
+    while done < len(rows):
+        if done >= turn:  # groups that have grown come together
+            turn = 2 * done
+            by = done + np.argsort(found.label[rows[done:]], kind="stable")
+            rows, values = np.r_[rows[:done], rows[by]], np.r_[values[:done], values[by]]
+            if own:
+                own_rows, own_values = rows, values
+        step = max(1, min(64, _TILE // 1024))
+        part, part_values = rows[done : done + step], values[done : done + step]
+        label = found.label[part]
+        same = (label == label[0]).all()
+        for c, cv in ((own_rows[done:], own_values[done:]), (cols, col_values)):
+            if same and len(c):
+                rest = found.label[c] != label[0]
+                if not rest.all():
+                    c, cv = c[rest], cv[rest]
+            for x in range(0, len(c), 1024):
+                found.tile(part, c[x : x + 1024], part_values, cv[x : x + 1024], radius)
+        done += step
+
+
+def _linked(distance: int, groups: int):
+    """Links (a, b) of the numbers n, for rows (k, side, n, fingerprint) in the order of k and side."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
 
-        def links(t: pa.Table) -> pa.RecordBatch:
-            k = t.column("k").to_numpy()
-            ids = t.column("n").to_numpy()
-            fps = t.column("fp").combine_chunks().flatten().to_numpy().reshape(-1, _LANES).view(np.uint64)
-            start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            out: set[tuple[int, int]] = set()
-            for a, b in zip(start, np.r_[start[1:], len(k)], strict=True):
-                out.update((min(p), max(p)) for p in walk(ids[a:b], fps[a:b], distance))
-            pairs = np.array(sorted(out), dtype=np.int64).reshape(-1, 2)
+        def links() -> pa.RecordBatch:
+            t = pa.Table.from_batches(rest)
+            rest.clear()
+            group = t.column("k")[0].as_py() % groups
+            ids, other = t.column("n").to_numpy(), t.num_rows - int(t.column("side").to_numpy().sum())
+            fps = np.empty((t.num_rows, _LANES), dtype=np.int64)
+            for i in range(_LANES):
+                fps[:, i] = t.column(f"f{i}").to_numpy()
+            del t
+            got = near_links(fps.view(np.uint64), other, distance, range(group, BLOCKS, groups)) if other else []
+            pairs = ids[np.array(got, dtype=np.int64).reshape(-1, 2)]
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         for b in batches:
-            if not b.num_rows:
-                continue
             k = b.column(0).to_numpy()
-            cut = int(np.searchsorted(k, k[-1]))
-            if rest and rest[-1].column(0)[-1].as_py() != k[0]:
-                yield links(pa.Table.from_batches(rest))
-                rest = []
-            if cut:
-                yield links(pa.Table.from_batches([*rest, b.slice(0, cut)]))
-                rest = []
-            rest.append(b.slice(cut))
+            cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == z:
+                    continue
+                if rest and rest[-1].column(0)[0].as_py() != k[a]:
+                    yield links()
+                rest.append(b.slice(a, z - a))
         if rest:
-            yield links(pa.Table.from_batches(rest))
+            yield links()
 
     return run
 
 
-def _apart(full: DataFrame, together: int) -> DataFrame:
-    """(k, n) with sets of more than ``together`` texts repeated over pairs of their parts, each pair a set of its own."""
-    hot = full.groupBy("k").agg(F.count("*").alias("size")).where(F.col("size") > together)
-    hot = written(hot, f"{shared_dir(full.sparkSession)}/large")
-    if hot.isEmpty():
-        return full
-    parts = F.ceil(F.col("size") * 2 / together).cast("int")
-    cut = full.join(hot.select("k", parts.alias("parts")), "k", "left")
-    own = F.pmod(F.xxhash64("n"), F.col("parts"))
-    pair = F.explode(F.expr("if(parts is null, array(0L), transform(sequence(0L, parts - 1L), j -> 1L + least(own, j) * parts + greatest(own, j)))"))
-    return cut.withColumn("own", own.cast("long")).select("k", pair.alias("pair"), "n").select(F.when(F.col("pair") == 0, F.col("k")).otherwise(F.xxhash64("k", "pair").bitwiseOR(F.lit(-(1 << 63)))).alias("k"), "n")
+def _tasks(texts: DataFrame, count: int, together: int) -> tuple[DataFrame, int]:
+    """(k, side, n, fingerprint) of each task that a text belongs to, and the number of groups of blocks."""
+    parts = 1 if count <= together else -(-2 * count // together)
+    groups = 1 if min(count, together) ** 2 <= _FEW else BLOCKS if parts == 1 else 3
+    own = F.pmod(F.xxhash64("n"), F.lit(parts))
+    tasks = F.expr(f"flatten(transform(sequence(0L, {parts - 1}L), j -> transform(sequence(0L, {groups - 1}L), g -> struct((least(own, j) * {parts}L + greatest(own, j)) * {groups}L + g AS k, int(own > j) AS side))))")
+    lanes = [f"f{i}" for i in range(_LANES)]
+    return texts.withColumn("own", own).select(F.explode(tasks).alias("t"), "n", *lanes).select("t.k", "t.side", "n", *lanes), groups
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, together: int = TOGETHER) -> DataFrame:
@@ -224,26 +309,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = shared_dir(spark)
     fps = written(fingerprints(docs, id_col, text_col), f"{at}/fingerprints")
     lanes = [F.first(F.col("fp")[i]).alias(f"f{i}") for i in range(_LANES)]
-    fp = F.when(F.col("f0").isNotNull(), F.array(*(F.col(f"f{i}") for i in range(_LANES))))
     reps = fps.groupBy("h1", "h2").agg(F.min("id").alias("rep"), *lanes)
-    reps = written(reps.select(F.monotonically_increasing_id().alias("n"), "h1", "h2", "rep", fp.alias("fp")), f"{at}/texts")
+    reps = written(reps.withColumn("n", F.monotonically_increasing_id()), f"{at}/texts")
     same = fps.join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
 
-    blocks = reps.where("fp IS NOT NULL").select("n", F.explode(F.array(*_blocks(F.col("fp")))).alias("value"))
-    values = blocks.groupBy("value").agg(F.count("*").alias("texts"))
-    masks = F.array(*(F.lit((1 << (_FREE + i)) | (i + 1)).cast("long") for i in range(BLOCK_BITS)))
-    first = F.shiftleft("value", _FREE)
-    shared = F.when(F.col("texts") > 1, F.lit(_SHARED)).otherwise(F.lit(0)).cast("long")
-    variants = values.select(F.explode(F.concat(F.array(first.bitwiseOR(shared)), F.transform(masks, lambda m: first.bitwiseXOR(m)))).alias("k"))
-    met = variants.repartition(F.shiftright("k", _FREE)).sortWithinPartitions("k").mapInArrow(_met, "k long, value long")
-    full = written(met.join(blocks, "value").select("k", "n"), f"{at}/met")
-    sets = _apart(full, together).join(reps.select("n", "fp"), "n").select("k", "n", "fp")
-    near = sets.repartition("k").sortWithinPartitions("k", "n").mapInArrow(_linked(distance), "a long, b long").distinct()
+    texts = reps.where("f0 IS NOT NULL")
+    tasks, groups = _tasks(texts.select("n", *(f"f{i}" for i in range(_LANES))), texts.count(), together)
+    near = tasks.repartition("k").sortWithinPartitions("k", "side").mapInArrow(_linked(distance, groups), "a long, b long").distinct()
     for end in ("a", "b"):
         near = near.join(reps.select(F.col("n").alias(end), F.col("rep").alias(f"{end}_id")), end)
     edges = written(same.unionByName(near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))), f"{at}/edges")
     out = components(edges, "a", "b").where("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("duplicate_of"))
-    for name in ("fingerprints", "texts", "met", "edges"):
+    for name in ("fingerprints", "texts", "edges"):
         dropped(spark, f"{at}/{name}")
     return out
 

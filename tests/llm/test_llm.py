@@ -223,6 +223,59 @@ def test_large_sets_are_walked_in_parts(spark):
     assert whole == grouped(simhash.near_duplicates(docs, together=4)) == brute_components(rows)
 
 
+def test_all_pairs_up_to_the_distance_are_linked(spark):
+    """Pairs of 60 to 68 bits, each alone: nothing else connects them."""
+    make, rows = simhash.Fingerprints(), []
+    for g in range(200):
+        base = prose(3000 + g, 60)
+        f = make.of(base)
+        far = [(t, int(np.bitwise_count(f ^ make.of(t)).sum())) for k in range(40) for t in [edited(base, k, 0.1 + k / 400)]]
+        rows += [(g * 10, base)] + [(g * 10 + 1, t) for t, d in far if 60 <= d <= simhash.DISTANCE][:1]
+    want = brute_components(rows)
+    assert len(want) >= 100
+    assert grouped(simhash.near_duplicates(docs_of(spark, rows))) == want
+
+
+@pytest.mark.parametrize("kind", ["spread", "alike", "few bits"])
+def test_links_by_blocks_against_all_pairs(monkeypatch, kind):
+    r = np.random.default_rng(5)
+    fps = r.integers(0, 2**64, (700, 8), dtype=np.uint64)
+    if kind == "few bits":  # large buckets
+        fps &= r.integers(0, 2**64, (1, 8), dtype=np.uint64) & r.integers(0, 2**64, (1, 8), dtype=np.uint64) & r.integers(0, 2**64, (1, 8), dtype=np.uint64)
+    for k in range(300):
+        of = k // 6 if kind == "alike" else k
+        bits = np.unpackbits(fps[of].view(np.uint8))
+        if kind == "spread":  # as even over all bits as can be
+            bits[(np.arange(68) * 512 // 68 + k) % 512] ^= 1
+        else:
+            bits[r.choice(512, int(r.integers(20, 72)), replace=False)] ^= 1
+        fps[350 + k] = np.packbits(bits).view(np.uint64)
+    near = np.bitwise_count(fps[:, None] ^ fps[None]).sum(2).astype(int) <= 68
+
+    def comps(pairs):
+        p = list(range(len(fps)))
+
+        def find(x):
+            while p[x] != x:
+                x = p[x]
+            return x
+
+        for a, b in pairs:
+            a, b = find(a), find(b)
+            p[max(a, b)] = min(a, b)
+        return [find(x) for x in p]
+
+    for few, tile in ((0, 1 << 16), (0, 64), (1 << 21, 1 << 16)):
+        monkeypatch.setattr(simhash, "_FEW", few)
+        monkeypatch.setattr(simhash, "_TILE", tile)
+        got = simhash.near_links(fps, len(fps), 68)
+        assert all(near[a, b] for a, b in got)
+        assert comps(got) == comps(np.argwhere(near).tolist())
+        parts = [x for k in range(3) for x in simhash.near_links(fps, 300, 68, range(k, 9, 3))]
+        assert all(a < 300 <= b for a, b in parts)
+        assert comps(parts) == comps([(a, b) for a, b in np.argwhere(near).tolist() if a < 300 <= b])
+
+
 def test_copies_with_text_ids_and_maps(spark):
     base = prose(4, 90)
     df = spark.createDataFrame([("b", base, {"x": 1}), ("a", base, {"x": 2}), ("c", prose(8, 90), {"x": 1, "y": 2}), ("c", prose(8, 90), {"x": 1, "y": 2}), ("d", None, None)], "doc_id string, text string, more map<string,int>")
