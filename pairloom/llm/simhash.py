@@ -34,7 +34,7 @@ BITS, BLOCKS, QUARTERS, BLOCK_BITS = 512, 9, 4, 56
 #: Bits in which two near copies' fingerprints differ at most.
 DISTANCE = 68
 #: Texts that a task holds; more are compared in pairs of parts of half as many.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 20
 _LANES = BITS // 64
 #: Pairs that are compared at a time, and pairs up to which all are compared without buckets.
 _TILE, _FEW = 1 << 16, 1 << 21

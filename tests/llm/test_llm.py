@@ -276,6 +276,22 @@ def test_links_by_blocks_against_all_pairs(monkeypatch, kind):
         assert comps(parts) == comps([(a, b) for a, b in np.argwhere(near).tolist() if a < 300 <= b])
 
 
+@pytest.mark.parametrize("n,together,rows", [(40, 100, 1), (2000, 5000, 9), (2000, 1500, 9)])
+def test_each_pair_of_texts_meets_once_a_group_of_blocks(spark, n, together, rows):
+    """A text is a few rows, and every pair is compared for all blocks in one task of each group."""
+    texts = spark.range(n).select(F.col("id").alias("n"), *(F.col("id").alias(f"f{i}") for i in range(8)))
+    tasks, groups = simhash._tasks(texts, n, together)
+    held = defaultdict(lambda: ([], []))
+    for r in tasks.select("k", "side", "n").collect():
+        held[r.k][r.side].append(r.n)
+    assert sum(len(a) + len(b) for a, b in held.values()) == rows * n
+    met = np.zeros((groups, n, n), dtype=int)
+    for k, (a, b) in held.items():
+        for x, y in [(a, b), (b, a)] if b else [(a, a)]:
+            met[k % groups][np.ix_(x, y)] += 1
+    assert (met == 1).all()
+
+
 def test_copies_with_text_ids_and_maps(spark):
     base = prose(4, 90)
     df = spark.createDataFrame([("b", base, {"x": 1}), ("a", base, {"x": 2}), ("c", prose(8, 90), {"x": 1, "y": 2}), ("c", prose(8, 90), {"x": 1, "y": 2}), ("d", None, None)], "doc_id string, text string, more map<string,int>")
