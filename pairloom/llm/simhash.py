@@ -6,7 +6,7 @@ All pairs that differ in at most ``DISTANCE`` bits are linked, none by chance: w
 ``DISTANCE`` // ``BLOCKS`` bits differ, and in one of its ``QUARTERS`` quarters at most a
 quarter of these, so one bit.  Texts are put in buckets by a quarter; a bucket is compared with itself and
 with those a bit away by the block, and pairs near there by the whole fingerprint.  That is an
-eighth of all pairs of the check tables, at about a nanosecond a pair for large tables.
+eighth of all pairs of the larger check table, so its cost grows with the square of the texts.
 
 A task has some of the blocks and all texts, or above ``TOGETHER`` texts one of the pairs of
 parts of them.  Its links connect just what all its pairs connect: pairs of texts that are
