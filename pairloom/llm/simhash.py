@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -135,13 +136,21 @@ def _block(fps: np.ndarray, k: int, quarter: int) -> np.ndarray:
 
 
 class _Links:
-    """Links of verified pairs, each between texts that were not connected before."""
+    """Links of verified pairs, each between texts that were not connected before.
+
+    A label is a member of its set; ``_after`` leads from each member to the next and at last
+    to the first again, so sets take two numbers a text whatever their sizes.
+    """
 
     def __init__(self, fps: np.ndarray, distance: int):
         self.fps, self.distance = fps, distance
         self.label = np.arange(len(fps))
-        self._members: dict[int, list[int]] = {}
-        self.links: list[tuple[int, int]] = []
+        self._after, self._size = array("q", range(len(fps))), array("q", [1]) * len(fps)
+        self._ends = array("q")
+
+    @property
+    def links(self) -> np.ndarray:
+        return np.array(self._ends, dtype=np.int64).reshape(-1, 2)
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
         """Compare pairs on the whole fingerprint and link those within the distance."""
@@ -152,14 +161,17 @@ class _Links:
             x, y = int(self.label[a]), int(self.label[b])
             if x == y:
                 continue
-            self.links.append((a, b))
-            of = self._members
-            more, less = of.pop(x, None) or [x], of.pop(y, None) or [y]
-            if len(more) < len(less):
-                x, more, less = y, less, more
+            self._ends.extend((a, b))
+            after, size = self._after, self._size
+            if size[x] < size[y]:
+                x, y = y, x
+            less, at = [y], after[y]
+            while at != y:
+                less.append(at)
+                at = after[at]
             self.label[less] = x
-            more += less
-            of[x] = more
+            after[x], after[y] = after[y], after[x]
+            size[x] += size[y]
 
     def tile(self, rows: np.ndarray, cols: np.ndarray, row_values: np.ndarray, col_values: np.ndarray, radius: int) -> None:
         """Compare all rows with all columns by their values, then what is near there whole."""
@@ -177,8 +189,8 @@ def _masks(bits: int, radius: int) -> list[int]:
     return sorted(out - {0})
 
 
-def near_links(fps: np.ndarray, other: int, distance: int, blocks: range = range(BLOCKS)) -> list[tuple[int, int]]:
-    """Links (a, b) of rows of ``fps`` that connect what their pairs within the distance connect.
+def near_links(fps: np.ndarray, other: int, distance: int, blocks: range = range(BLOCKS)) -> np.ndarray:
+    """Links, rows (a, b) of two rows of ``fps`` that connect what their pairs within the distance connect.
 
     The rows from ``other`` on are another part: each of the rows before it is compared with
     these only; where there is no other part, ``other`` is the number of rows, all rows are
@@ -255,31 +267,30 @@ def _linked(distance: int, groups: int):
     """Links (a, b) of the numbers n, for rows (k, side, n, fingerprint) in the order of k and side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
+        # what a worker holds of a task: flat buffers, not Arrow's, which would stay beside them
+        ids, fps, sides, task = array("q"), array("q"), 0, None
 
         def links() -> pa.RecordBatch:
-            t = pa.Table.from_batches(rest)
-            rest.clear()
-            group = t.column("k")[0].as_py() % groups
-            ids, other = t.column("n").to_numpy(), t.num_rows - int(t.column("side").to_numpy().sum())
-            fps = np.empty((t.num_rows, _LANES), dtype=np.int64)
-            for i in range(_LANES):
-                fps[:, i] = t.column(f"f{i}").to_numpy()
-            del t
-            got = near_links(fps.view(np.uint64), other, distance, range(group, BLOCKS, groups)) if other else []
-            pairs = ids[np.array(got, dtype=np.int64).reshape(-1, 2)]
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            n, group = np.frombuffer(ids, dtype=np.int64), task % groups
+            other = len(n) - sides
+            got = near_links(np.frombuffer(fps, dtype=np.uint64).reshape(-1, _LANES), other, distance, range(group, BLOCKS, groups)) if other else np.empty((0, 2), dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(n[got[:, 0]]), pa.array(n[got[:, 1]])], names=["a", "b"])
 
         for b in batches:
-            k = b.column(0).to_numpy()
+            k = b.column("k").to_numpy()
             cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
             for a, z in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == z:
                     continue
-                if rest and rest[-1].column(0)[0].as_py() != k[a]:
+                if ids and k[a] != task:
                     yield links()
-                rest.append(b.slice(a, z - a))
-        if rest:
+                    ids, fps, sides = array("q"), array("q"), 0
+                task, part = int(k[a]), b.slice(a, z - a)
+                sides += int(part.column("side").to_numpy().sum())
+                ids.frombytes(part.column("n").to_numpy().tobytes())
+                fps.frombytes(np.stack([part.column(f"f{i}").to_numpy() for i in range(_LANES)], axis=1).tobytes())
+        pa.default_memory_pool().release_unused()
+        if ids:
             yield links()
 
     return run
@@ -320,7 +331,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         near = near.join(reps.select(F.col("n").alias(end), F.col("rep").alias(f"{end}_id")), end)
     edges = written(same.unionByName(near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))), f"{at}/edges")
     out = components(edges, "a", "b").where("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("duplicate_of"))
-    for name in ("fingerprints", "texts", "edges"):
+    for name in ("fingerprints", "texts"):  # the result may still read the edges
         dropped(spark, f"{at}/{name}")
     return out
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pairloom.llm import chat, common, decontaminate, langid, licenses, neighbours, packing, queries, simhash, token_binary, token_counts, url_filters
+from pairloom.llm import components as component_steps
 from pairloom.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, k int, __cut int"
@@ -348,6 +349,46 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_few_edges_are_labelled_in_one_task(spark, monkeypatch, kind):
+    """A chain, which took a table of many files for each step, and a star whose centre is its greatest node; both ways alike."""
+    edges = [(k, k + 1) for k in range(1000, 1300)] + [(5000, k) for k in range(4000, 4100)] + [(-7, -7), (3, -9), (None, 3), (3, None), (-9, 3)]
+    want = {k: 1000 for k in range(1000, 1301)} | {k: 4000 for k in [*range(4000, 4100), 5000]} | {-7: -7, 3: -9, -9: -9}
+    df = spark.createDataFrame(edges, "a long, b long")
+    if kind == "string":  # of equal length, so that their order is that of the numbers
+        df = df.select(*(F.format_string("%05d", F.col(c) + 10_000).alias(c) for c in ("a", "b")))
+        df = df.where("a NOT LIKE '%null%' AND b NOT LIKE '%null%'")
+        want = {f"{k + 10_000:05d}": f"{x + 10_000:05d}" for k, x in want.items()}
+    else:
+        df = df.select(*(F.col(c).cast(kind) for c in ("a", "b")))
+    steps, write = [], component_steps.written
+    monkeypatch.setattr(component_steps, "written", lambda rows, path: steps.append(path) or write(rows, path))
+    out = components(df)
+    assert {x.node: x.component for x in out.collect()} == want and out.dtypes == [("node", df.dtypes[0][1]), ("component", df.dtypes[0][1])]
+    assert kind == "string" or not steps
+    steps.clear()
+    assert {x.node: x.component for x in components(df, together=10).collect()} == want
+    assert len(steps) > 3
+
+
+def test_links_hold_few_bytes_a_text():
+    """A task of a million texts leaves a worker room beside another and an executor's heap."""
+    import tracemalloc
+
+    n = 100_000
+    fps, even = np.zeros((n, 8), dtype=np.uint64), np.arange(0, n, 2)
+    tracemalloc.start()
+    try:
+        found = simhash._Links(fps, 0)
+        found.add(even, even + 1)
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert len(found.links) == n // 2 and held < 50 * n
+    found.add(even[:-1], even[1:])
+    assert len(found.links) == n - 1 and len(np.unique(found.label)) == 1
+
+
 # ---- 3
 
 
