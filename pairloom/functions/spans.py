@@ -23,13 +23,29 @@ def _put(text: Column, edits: Column) -> Column:
     return F.aggregate(order, text, lambda acc, e: F.concat(F.substring(acc, F.lit(1), e["begin"]), e["with"], F.substring(acc, e["end"] + 1, F.length(acc))))
 
 
+def _plain(text: Column, b1: Column, e1: Column, b2: Column, e2: Column, around: tuple[str, str, str, str], keep: bool, other: Column) -> Column:
+    """Text with the first span, then the second, between what stands around them; other where they are empty, touch or stand otherwise.
+
+    Nearly all pairs are of this kind, and here no function runs for each edit.
+    """
+    one = lambda a, b, first, second: F.concat(
+        F.substring(text, F.lit(1), a[0]), F.lit(first[0]), *([F.substring(text, a[0] + 1, a[1] - a[0])] if keep else []), F.lit(first[1]),
+        F.substring(text, a[1] + 1, b[0] - a[1]), F.lit(second[0]), *([F.substring(text, b[0] + 1, b[1] - b[0])] if keep else []), F.lit(second[1]), F.substring(text, b[1] + 1, F.length(text)),
+    )
+    first, second = around[:2], around[2:]
+    apart = lambda a, b: (F.lit(0) <= a[0]) & (a[0] < a[1]) & (a[1] < b[0]) & (b[0] < b[1])
+    return F.when(apart((b1, e1), (b2, e2)), one((b1, e1), (b2, e2), first, second)).when(apart((b2, e2), (b1, e1)), one((b2, e2), (b1, e1), second, first)).otherwise(other)
+
+
 def _edit(begin: Column, end: Column, put: str, at: int) -> Column:
     return F.struct(begin.cast("int").alias("begin"), end.cast("int").alias("end"), F.lit(put).alias("with"), F.lit(at).alias("ord"))
 
 
 def marked(text: Column, b1: Column, e1: Column, b2: Column, e2: Column) -> Column:
     """Both spans between their tags; nested and touching spans are fine."""
-    return _put(text, F.array(_edit(b1, b1, "[E1]", 0), _edit(e1, e1, "[/E1]", 1), _edit(b2, b2, "[E2]", 2), _edit(e2, e2, "[/E2]", 3)))
+    b1, e1, b2, e2 = (c.cast("int") for c in (b1, e1, b2, e2))
+    any_order = _put(text, F.array(_edit(b1, b1, "[E1]", 0), _edit(e1, e1, "[/E1]", 1), _edit(b2, b2, "[E2]", 2), _edit(e2, e2, "[/E2]", 3)))
+    return _plain(text, b1, e1, b2, e2, ("[E1]", "[/E1]", "[E2]", "[/E2]"), True, any_order)
 
 
 def masked(text: Column, b1: Column, e1: Column, b2: Column, e2: Column, others: Column | None = None) -> Column:
@@ -75,8 +91,22 @@ def marked_spans(text: Column) -> Column:
     """array<struct<begin, end>> of the marked spans in the stripped text, sorted.
 
     A closing tag ends what was opened last, whichever number it has, as the tags are read
-    from left to right.
+    from left to right.  Where the tags are one span after the other, which one pass of a
+    pattern says, their places alone tell the spans.
     """
+    at = lambda tag: F.instr(text, tag) - 1
+    two = lambda a, b: F.array(*(F.struct((at(f"[E{k}]") - less).cast("int").alias("begin"), (at(f"[/E{k}]") - less - 4).cast("int").alias("end")) for k, less in ((a, 0), (b, 9))))
+    return F.when(text.rlike(_in_order("1", "2")), two("1", "2")).when(text.rlike(_in_order("2", "1")), two("2", "1")).otherwise(_read_spans(text))
+
+
+def _in_order(*ks: str) -> str:
+    """A pattern for whole texts whose tags are those of the spans ks, one after the other."""
+    no_tag = r"[^\[]*+(?:\[(?!/?E[12]\])[^\[]*+)*+"
+    return r"\A" + no_tag + "".join(rf"\[E{k}\]{no_tag}\[/E{k}\]{no_tag}" for k in ks) + r"\z"
+
+
+def _read_spans(text: Column) -> Column:
+    """Spans by reading the tags one by one."""
     pieces = F.split(text, MARKER)
     found = tags(text)
     start = F.expr(f"named_struct('at', 0, 'open', cast(null as int), 'out', cast(array() as {SPANS}))")

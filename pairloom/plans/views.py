@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import marked
 from ..functions.text import squeezed
-from ..operators.pairs import sentence_rows
+from ..operators.pairs import sentence_pieces, sentence_rows
 from ..schema import LABELS
 
 
@@ -67,11 +67,21 @@ def sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentence_rows(table(spark, d, "documents"), keep=("lang",))
 
 
+def pieces(spark: SparkSession, d: str) -> DataFrame:
+    """sentences without offsets."""
+    return sentence_pieces(table(spark, d, "documents"), keep=("lang",))
+
+
 def mentions_in(spark: SparkSession, d: str) -> DataFrame:
-    """English sentences of six words and more: words two, four and five of each are its mentions."""
-    s = sentences(spark, d).where("lang = 'en'").select("doc_id", "s", squeezed(F.col("piece")).alias("t"))
-    w = s.withColumn("w", F.split("t", " ")).where("size(w) >= 6")
-    begin = lambda k: F.aggregate(F.slice("w", 1, k - 1), F.lit(0), lambda a, x: a + F.length(x) + 1)
+    """English sentences of six words and more: words two, four and five of each are its mentions.
+
+    Short sentences go by an explode: a filter would be moved below the words and cut each
+    sentence into words a second time.
+    """
+    s = pieces(spark, d).where("lang = 'en'").select("doc_id", "s", squeezed(F.col("piece")).alias("t"))
+    words = F.split("t", " ")
+    w = s.select("doc_id", "s", F.explode(F.when(F.size(words) >= 6, F.array(F.struct("t", words.alias("w"))))).alias("x")).select("doc_id", "s", "x.*")
+    begin = lambda k: sum((F.length(F.col("w")[i]) + 1 for i in range(k - 1)), F.lit(0))
     span = lambda k: F.struct(begin(k).alias("begin"), (begin(k) + F.length(F.col("w")[k - 1])).alias("end"))
     return w.select(F.concat_ws(":", "doc_id", "s").alias("sent_id"), "t", "w", F.array(span(2), span(4), span(5)).alias("spans"))
 
