@@ -33,7 +33,7 @@ def _plain(text: Column, b1: Column, e1: Column, b2: Column, e2: Column, around:
         F.substring(text, a[1] + 1, b[0] - a[1]), F.lit(second[0]), *([F.substring(text, b[0] + 1, b[1] - b[0])] if keep else []), F.lit(second[1]), F.substring(text, b[1] + 1, F.length(text)),
     )
     first, second = around[:2], around[2:]
-    apart = lambda a, b: (F.lit(0) <= a[0]) & (a[0] < a[1]) & (a[1] < b[0]) & (b[0] < b[1])
+    apart = lambda a, b: (F.lit(0) <= a[0]) & (a[0] < a[1]) & (a[1] < b[0]) & (b[0] < b[1]) & (b[1] <= F.length(text))
     return F.when(apart((b1, e1), (b2, e2)), one((b1, e1), (b2, e2), first, second)).when(apart((b2, e2), (b1, e1)), one((b2, e2), (b1, e1), second, first)).otherwise(other)
 
 
@@ -50,12 +50,25 @@ def marked(text: Column, b1: Column, e1: Column, b2: Column, e2: Column) -> Colu
 
 def masked(text: Column, b1: Column, e1: Column, b2: Column, e2: Column, others: Column | None = None) -> Column:
     """drug1 and drug2 in place of the spans, drug0 of the others clear of both; null where spans overlap."""
+    b1, e1, b2, e2 = (c.cast("int") for c in (b1, e1, b2, e2))
     edits = F.array(_edit(b1, e1, "drug1", 0), _edit(b2, e2, "drug2", 1))
-    if others is not None:
-        clear = lambda x: ((x["end"] <= b1) | (x["begin"] >= e1)) & ((x["end"] <= b2) | (x["begin"] >= e2))
-        rest = F.transform(F.filter(others, clear), lambda x: F.struct(x["begin"].cast("int").alias("begin"), x["end"].cast("int").alias("end"), F.lit("drug0").alias("with"), F.lit(2).alias("ord")))
-        edits = F.concat(edits, rest)
-    return F.when(~overlapping(edits), _put(text, edits))
+    if others is None:
+        return _plain(text, b1, e1, b2, e2, ("drug1", "", "drug2", ""), False, F.when(~overlapping(edits), _put(text, edits)))
+    clear = lambda x: ((x["end"] <= b1) | (x["begin"] >= e1)) & ((x["end"] <= b2) | (x["begin"] >= e2))
+    rest = F.transform(F.filter(others, clear), lambda x: F.struct(x["begin"].cast("int").alias("begin"), x["end"].cast("int").alias("end"), F.lit("drug0").alias("with"), F.lit(2).alias("ord")))
+    edits = F.concat(edits, rest)
+    return F.coalesce(_replaced(text, edits), F.when(~overlapping(edits), _put(text, edits)))
+
+
+def _replaced(text: Column, edits: Column) -> Column:
+    """Edits that replace something and stand clear of each other, in one pass from left to right; null where any doesn't."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, e: Column) -> Column:
+        fine = (e["begin"] >= acc["at"]) & (e["begin"] < e["end"])
+        return F.when(fine, F.struct(e["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, e["begin"] - acc["at"]), e["with"]).alias("out")))
+
+    return F.aggregate(F.sort_array(edits), start, step, lambda acc: F.when(acc["at"] <= F.length(text), F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))))
 
 
 def overlapping(spans: Column) -> Column:
@@ -84,7 +97,7 @@ def masked_text(text: Column) -> Column:
     out = text
     for k in "12":
         out = F.regexp_replace(out, _span(k), f"drug{k}")
-    return F.when(maskable(text), out)
+    return F.when(text.rlike(_in_order("1", "2")) | text.rlike(_in_order("2", "1")), out)
 
 
 def marked_spans(text: Column) -> Column:

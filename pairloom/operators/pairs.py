@@ -53,7 +53,8 @@ def pair_instances(sents: DataFrame, mode: str = "markers", monster: int | None
     args = [F.col("a.begin"), F.col("a.end"), F.col("b.begin"), F.col("b.end")]
     text = P.marked(F.col("text"), *args) if mode == "markers" else P.masked(F.col("text"), *args, F.col("ents") if mode == "mask_all" else None)
     no = F.expr("i * (2 * n - i - 1) div 2 + j - i - 1").cast("int")
-    out = both.select(text.alias("text"), F.coalesce(last("a", "b"), last("b", "a"), F.lit(NONE)).alias("label"), F.col("register").alias("source"), "sent_id", no.alias("pair_no"))
+    made = F.struct(text.alias("text"), F.coalesce(last("a", "b"), last("b", "a"), F.lit(NONE)).alias("label"), F.col("register").alias("source"), "sent_id", no.alias("pair_no"))
+    out = both.select(F.explode(F.array(made)).alias("x")).select("x.*")  # behind an explode the filters below don't render each text again
     return out.where("text IS NOT NULL"), out.where("text IS NULL").select("sent_id", "pair_no", "label", F.lit("overlapping spans").alias("reason"))
 
 
@@ -149,9 +150,14 @@ def parsed_ids(inst: DataFrame) -> DataFrame:
     return inst.withColumn("kind", F.substring_index("sent_id", ":", 1)).withColumn("register", F.element_at(F.split("sent_id", ":"), 2)).withColumn("document", F.regexp_replace(rest, ":[^:]*$", "")).withColumn("part", F.substring_index(rest, ":", -1))
 
 
+def with_masked(inst: DataFrame, name: str = "masked") -> DataFrame:
+    """inst with its masked text, null where the tags don't allow it: one pass for what ``masked_twins`` gives as three frames."""
+    return inst.withColumn(name, P.masked_text(F.col("text")))
+
+
 def masked_twins(inst: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(kept, masked, dropped): rows that can be masked, the same rows masked, and the rest."""
-    m = inst.withColumn("__m", P.masked_text(F.col("text")))
+    m = with_masked(inst, "__m")
     ok = m.where("__m IS NOT NULL")
     return ok.drop("__m"), ok.withColumn("text", F.col("__m")).drop("__m"), m.where("__m IS NULL").drop("__m")
 

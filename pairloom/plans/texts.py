@@ -98,9 +98,13 @@ def closest(s: SparkSession, d: str) -> DataFrame:
 
 
 def twins(s: SparkSession, d: str) -> DataFrame:
-    kept, masked, dropped = J.masked_twins(marked_pairs(s, d))
-    one = lambda df, name: df.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).withColumn("part", F.lit(name))
-    return one(kept, "kept").unionByName(one(masked, "masked")).unionByName(one(dropped, "dropped"))
+    """Rows and characters of the rows that can be masked, of the same masked, and of the rest, in one pass."""
+    m = J.with_masked(marked_pairs(s, d)).select("label", F.length("text").alias("t"), F.length("masked").alias("m"))
+    ok = F.col("m").isNotNull()
+    parts = {"kept": (ok, "t"), "masked": (ok, "m"), "dropped": (~ok, "t")}
+    sums = m.groupBy("label").agg(*(c.alias(f"{k}_{x}") for k, (which, what) in parts.items() for x, c in (("n", F.count_if(which)), ("chars", F.sum(F.when(which, F.col(what)))))))
+    rows = sums.select("label", F.explode(F.array(*(F.struct(F.col(f"{k}_n").alias("n"), F.col(f"{k}_chars").alias("chars"), F.lit(k).alias("part")) for k in parts))).alias("p"))
+    return rows.select("label", "p.*").where("n > 0")
 
 
 def masked_all(s: SparkSession, d: str) -> DataFrame:

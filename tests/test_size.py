@@ -10,7 +10,7 @@ from pairloom.functions import spans as P
 from pairloom.plans import texts
 
 #: Queries over marked pairs that rendered them more than once.
-ONCE = ["verify_flagged_described", "verify_siblings", "verify_flags"]
+ONCE = ["verify_flagged_described", "verify_siblings", "verify_flags", "markers_masked_twins"]
 
 
 @pytest.mark.parametrize("name", ONCE)
@@ -18,7 +18,7 @@ def test_marked_pairs_are_made_once(spark, small, monkeypatch, name):
     made = []
     monkeypatch.setattr(texts, "marked_pairs", lambda *a, real=texts.marked_pairs: made.append(a) or real(*a))
     shown = plans.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
-    assert len(made) == 1 and shown.count("[/E1]") <= 1
+    assert len(made) == 1 and shown.count("Relation [doc_id") <= 1
 
 
 def test_spans_of_plain_and_odd_texts(spark):
@@ -34,9 +34,30 @@ def test_spans_of_plain_and_odd_texts(spark):
 
 def test_markers_of_all_spans(spark):
     text = "aé𝒳cdefg"
-    rows = [(text, *(random.Random(k).choices(range(9), k=4))) for k in range(300)]
+    rows = [(text, *(random.Random(k).choices(range(11), k=4))) for k in range(300)]
     df = spark.createDataFrame(rows, "t string, a int, b int, c int, d int")
     edit = lambda at, tag, n: P._edit(F.col(at), F.col(at), tag, n)
     slow = P._put(F.col("t"), F.array(edit("a", "[E1]", 0), edit("b", "[/E1]", 1), edit("c", "[E2]", 2), edit("d", "[/E2]", 3)))
     for r in df.select("*", P.marked(F.col("t"), *map(F.col, "abcd")).alias("x"), slow.alias("y")).collect():
         assert r.x == r.y, r
+
+
+def test_masks_of_all_spans(spark):
+    text = "aé𝒳cdefg"
+    rows = [(text, *(random.Random(k).choices(range(11), k=4)), [(n, n + 2) for n in random.Random(k).choices(range(9), k=2)]) for k in range(400)]
+    df = spark.createDataFrame(rows, "t string, a int, b int, c int, d int, o array<struct<begin: int, end: int>>")
+    a, b, c, d = map(F.col, "abcd")
+    edits = F.array(P._edit(a, b, "drug1", 0), P._edit(c, d, "drug2", 1))
+    clear = lambda x: ((x["end"] <= a) | (x["begin"] >= b)) & ((x["end"] <= c) | (x["begin"] >= d))
+    more = F.concat(edits, F.transform(F.filter("o", clear), lambda x: P._edit(x["begin"], x["end"], "drug0", 2)))
+    slow = lambda e: F.when(~P.overlapping(e), P._put(F.col("t"), e))
+    got = df.select("*", P.masked(F.col("t"), a, b, c, d).alias("x"), slow(edits).alias("y"), P.masked(F.col("t"), a, b, c, d, F.col("o")).alias("z"), slow(more).alias("w")).collect()
+    assert any(r.x and r.z for r in got) and any(r.x is None for r in got)
+    for r in got:
+        assert (r.x, r.z) == (r.y, r.w), r
+
+
+@pytest.mark.parametrize("name", ["instances_markers", "instances_masked", "instances_masked_all"])
+def test_instances_are_rendered_once(spark, small, name):
+    shown = plans.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and ("drug1" in line or "[E1]" in line) for line in shown.splitlines())
