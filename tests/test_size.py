@@ -10,7 +10,7 @@ from pairloom.functions import spans as P
 from pairloom.plans import texts
 
 #: Queries over marked pairs that rendered them more than once.
-ONCE = ["verify_flagged_described", "verify_siblings", "verify_flags", "markers_masked_twins", "prune_arms", "verify_flag_concentration"]
+ONCE = ["verify_flagged_described", "verify_siblings", "verify_flags", "markers_masked_twins", "prune_arms", "verify_flag_concentration", "verify_verdict_rows"]
 
 
 @pytest.mark.parametrize("name", ONCE)
