@@ -50,6 +50,17 @@ def first_texts(inst: DataFrame, order: str = "pair_no", by: list[str] | None =
     return inst.groupBy(*(by or []), "sent_id").agg(stripped(F.min_by("text", order)).alias("plain"))
 
 
+def gram_rows(texts: DataFrame, words: Column, n: int, *keep: str, name: str = "g") -> DataFrame:
+    """(keep, name): one row a run of n words of each text, as ``ngrams`` would list them.
+
+    Only places are exploded; a run is put together where it is counted, so no function
+    runs for each of them.
+    """
+    w = texts.select(*keep, words.alias("__w"))
+    at = w.select(*keep, "__w", F.explode(F.when(F.size("__w") >= n, F.sequence(F.lit(0), F.size("__w") - n))).alias("__i"))
+    return at.select(*keep, F.concat_ws(" ", *(F.col("__w")[F.col("__i") + k] for k in range(n))).alias(name))
+
+
 def text_measures(first: DataFrame, by: list[str] | None = None, column: str = "plain") -> DataFrame:
     """median_length in words, distinct_4 and opening_entropy in bits, over one text a sentence.
 
@@ -60,7 +71,7 @@ def text_measures(first: DataFrame, by: list[str] | None = None, column: str = "
     key = by or ["__all"]
     w = one.select(*key, X.words(F.lower(column)).alias("w"))
     length = w.groupBy(*key).agg(F.median(F.size("w")).alias("median_length"))
-    grams = w.select(*key, F.explode(X.ngrams(F.col("w"), 4)).alias("g")).groupBy(*key, "g").agg(F.count("*").alias("c"))
+    grams = gram_rows(w, F.col("w"), 4, *key).groupBy(*key, "g").agg(F.count("*").alias("c"))
     distinct = grams.groupBy(*key).agg((F.count("*") / F.sum("c")).alias("distinct_4"))
     opens = entropy(w.select(*key, X.opening(F.col("w")).alias("open")), "open", key, "opening_entropy")
     out = length.join(opens, key).join(distinct, key, "left").withColumn("distinct_4", F.coalesce("distinct_4", F.lit(0.0)))
@@ -78,7 +89,7 @@ def role_adjacency(inst: DataFrame, by: list[str] | None = None, chars: int = 60
 
 def repeated_ngrams(texts: DataFrame, column: str = "text", n: int = 4) -> DataFrame:
     """distinct_n and repeated_mass over every record's n-grams; nulls where there is none."""
-    grams = texts.select(F.explode(X.ngrams(X.words(F.lower(column)), n)).alias("g")).groupBy("g").agg(F.count("*").alias("c"))
+    grams = gram_rows(texts, X.words(F.lower(column)), n).groupBy("g").agg(F.count("*").alias("c"))
     return grams.agg((F.count("*") / F.sum("c")).alias("distinct_n"), (F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)) / F.sum("c")).alias("repeated_mass"))
 
 

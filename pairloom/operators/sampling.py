@@ -141,16 +141,20 @@ def match_composition(inst: DataFrame, target: float, n_rows: int, seed: int, fr
 def stability_draws(inst: DataFrame, sizes: list[int], draws: int, seed: int = 0) -> DataFrame:
     """inst once for every (budget, draw): so many sentences drawn by hash of (seed, budget, draw).
 
-    Sizes beyond the number of sentences are left out.  All draws are one plan: sentences
-    are ranked within each draw, and only their ids are multiplied.
+    Sizes beyond the number of sentences are left out.  All draws are one plan and only ids
+    are multiplied: they are counted by their hash's first digits, and those in the buckets
+    up to a draw's last sentence, few more than are drawn, are ranked.
     """
     spark = inst.sparkSession
     ids = groups(inst).select("sent_id")
     total = ids.count()
     table = spark.createDataFrame([(n, d) for n in sizes if n <= total for d in range(draws)], "budget int, draw int")
     h = hashed(seed, "budget", "draw", "sent_id")
+    each = ids.crossJoin(F.broadcast(table)).withColumn("h", h).withColumn("b", F.substring("h", 1, 4))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("budget", "draw").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = each.groupBy("budget", "draw", "b").agg(F.count("*").alias("n")).withColumn("before", before).where("before < budget").select("budget", "draw", "b")
     rank = F.row_number().over(Window.partitionBy("budget", "draw").orderBy("h", "sent_id"))
-    drawn = ids.crossJoin(F.broadcast(table)).withColumn("h", h).withColumn("r", rank).where("r <= budget")
+    drawn = each.join(F.broadcast(near), ["budget", "draw", "b"]).withColumn("r", rank).where("r <= budget")
     return inst.join(drawn.select("sent_id", "budget", "draw"), "sent_id")
 
 

@@ -177,7 +177,7 @@ def first_turns(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "text_measures_by_language": text_measures,
     "text_repeated_ngrams": lambda s, d: M.repeated_ngrams(_docs(s, d)),
-    "text_top_ngrams": lambda s, d: M.top_values(_docs(s, d).select(F.explode(X.ngrams(X.words(F.lower("text")), 4)).alias("g")), F.col("g"), 12),
+    "text_top_ngrams": lambda s, d: M.top_values(M.gram_rows(_docs(s, d), X.words(F.lower("text")), 4), F.col("g"), 12),
     "text_top_openings": lambda s, d: M.top_values(_docs(s, d), X.opening(X.words(F.lower("text"))), 12),
     "text_degenerate": lambda s, d: _docs(s, d).where(X.degenerate(F.col("text"))).select("doc_id"),
     "text_normalised": lambda s, d: _docs(s, d).select("doc_id", F.md5(X.normalised(F.col("text"), unicode=False)).alias("digest")),

@@ -1,5 +1,6 @@
 """Shared steps are done once and stay as right as their slower forms."""
 
+import hashlib
 import random
 
 import pytest
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 
 from pairloom import plans
 from pairloom.functions import spans as P
+from pairloom.functions import text as X
+from pairloom.operators import measures, sampling
 from pairloom.plans import texts
 
 #: Queries over marked pairs that rendered them more than once.
@@ -61,3 +64,34 @@ def test_masks_of_all_spans(spark):
 def test_instances_are_rendered_once(spark, small, name):
     shown = plans.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Filter" in line and ("drug1" in line or "[E1]" in line) for line in shown.splitlines())
+
+
+def test_draws_rank_only_what_is_near(spark):
+    ids = [str(k) for k in range(5000)]
+    inst = spark.createDataFrame([(i, k) for i in ids for k in range(2)], "sent_id string, k int")
+    d = sampling.stability_draws(inst, [7, 300, 6000], 3, 5)
+    got = {}
+    for r in d.collect():
+        got.setdefault((r.budget, r.draw), []).append(r.sent_id)
+    rank = lambda n, k: sorted(sorted(ids, key=lambda i: (hashlib.md5(f"5:{n}:{k}:{i}".encode()).hexdigest(), i))[:n] * 2)
+    assert {k: sorted(v) for k, v in got.items()} == {(n, k): rank(n, k) for n in (7, 300) for k in range(3)}
+    lines = d._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, x in enumerate(lines) if "Window [row_number" in x)
+    assert any("Join Inner" in x and "b#" in x for x in lines[at : at + 4])
+
+
+@pytest.mark.parametrize("name", ["text_repeated_ngrams", "text_measures_by_language", "text_top_ngrams"])
+def test_runs_of_words_without_a_function_each(spark, small, name):
+    assert "lambda" not in plans.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_and_runs_of_odd_texts(spark):
+    rng = random.Random(1)
+    rows = ["".join(rng.choices(["a", "Éb", " ", "\t", "\n ", "\x0b", "\u00a0", "-"], k=rng.randrange(14))) for _ in range(300)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*rows, "", None])], "k int, t string")
+    clean = F.trim(F.regexp_replace("t", r"\s+", " "))
+    old = F.when(clean == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(clean, " "))
+    for r in df.select("t", clean.alias("a"), X.squeezed(F.col("t")).alias("b"), old.alias("c"), X.words(F.col("t")).alias("d")).collect():
+        assert (r.a, r.c) == (r.b, r.d), r.t
+    want = df.select("k", F.explode(X.ngrams(old, 3)).alias("g")).collect()
+    assert sorted(want) == sorted(measures.gram_rows(df, X.words(F.col("t")), 3, "k").collect()) and want
